@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweir.llm import mixing, neighbours, packing, splitting, topn
+from graphweir.llm import mixing, neighbours, packing, pairs, splitting, topn, unwanted
 from graphweir.sources.tables import load
 
 
@@ -19,6 +19,10 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(load(spark, d, "chunk_info"), "chunk_id", "content")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(load(spark, d, "query_solution"), load(spark, d, "documents"))
+
+
 def p3_items(spark: SparkSession, d: str) -> DataFrame:
     answers = load(spark, d, "query_solution").select(F.lit("query").alias("kind"), F.col("query_id").alias("group_id"), F.explode(F.arrays_zip("docs", "doc_scores")).alias("one"))
     scored = answers.select("kind", "group_id", F.col("one.docs").alias("item"), F.col("one.doc_scores").alias("score"))
@@ -50,7 +54,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(p8_mix(spark, d), load(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p4_nearest, p7_containers, p8_mix, p8_shares)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return unwanted.score_documents(load(spark, d, "documents"), load(spark, d, "review_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("unwanted").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return unwanted.rates(p9_scores(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p4_found, p4_nearest, p7_containers, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": r"""
