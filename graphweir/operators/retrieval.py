@@ -108,7 +108,7 @@ def cluster_summary(scores: DataFrame) -> DataFrame:
     top = best(scores, ["query_id", "source"], "x", "node", 3).groupBy("query_id", "source").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("t"))
     sizes = scores.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     names = F.array_join(F.transform("t", lambda x: x["node"].cast("string")), ", ")
-    text = F.concat(F.lit("Around "), F.col("source").cast("string"), F.lit(" "), F.col("n").cast("string"), F.lit(" nodes, led by "), names, F.lit(", with flow from "), F.format_string("%.3f", "low"), F.lit(" to "), F.format_string("%.3f", "high"), F.lit("."))
+    text = F.concat(F.lit("Around "), F.col("source").cast("string"), F.lit(" "), F.col("n").cast("string"), F.lit(" nodes, led by "), names, F.lit(", with flow from "), F.format_string("%.3f", F.round("low", 3)), F.lit(" to "), F.format_string("%.3f", F.round("high", 3)), F.lit("."))
     return sizes.join(top, ["query_id", "source"]).select("query_id", "source", text.alias("summary"))
 
 

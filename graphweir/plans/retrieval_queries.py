@@ -172,7 +172,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place, entity
     "retrieve_cluster_summaries": """
 WITH x AS (SELECT cluster_id AS query_id, source_node AS source, name AS node, max(flow_value) AS x FROM cluster_node_data WHERE name IS NOT NULL AND flow_value IS NOT NULL AND NOT isnan(flow_value) GROUP BY ALL),
 t AS (SELECT query_id, source, string_agg(node, ', ' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY x DESC, node) AS r FROM x) WHERE r <= 3 GROUP BY ALL)
-SELECT query_id, source, 'Around ' || source || ' ' || count(*) || ' nodes, led by ' || any_value(names) || ', with flow from ' || format('{:.3f}', min(x)) || ' to ' || format('{:.3f}', max(x)) || '.' AS summary
+SELECT query_id, source, 'Around ' || source || ' ' || count(*) || ' nodes, led by ' || any_value(names) || ', with flow from ' || format('{:.3f}', round(min(x), 3)) || ' to ' || format('{:.3f}', round(max(x), 3)) || '.' AS summary
 FROM x JOIN t USING (query_id, source) GROUP BY query_id, source""",
     "schema_nodes": f"""
 WITH {_COLUMNS} SELECT DISTINCT db_id, '"' || table_name || '"' AS name, 'complete_table' AS entity_type FROM cols UNION ALL SELECT db_id, '"' || table_name || '.' || column_name || '"', 'column' FROM cols""",
