@@ -72,9 +72,12 @@ def allocate(available: np.ndarray, shares: np.ndarray, repeats: np.ndarray, tot
 def natural_total(available: np.ndarray, shares: np.ndarray, repeats: np.ndarray, short_weight: float = SHORT_WEIGHT) -> int:
     """The largest total at which only the smallest sources, of at most
     ``short_weight`` of all target weight, cannot reach their shares. (The
-    total at which none falls short would hang on the tiniest source.)"""
-    if not len(shares):
+    total at which none falls short would hang on the tiniest source; those that
+    have nothing to give fall short of any total.)"""
+    some = available * repeats > 0
+    if not some.any():
         return 0
+    available, shares, repeats = available[some], shares[some], repeats[some]
     reach = available * repeats / shares
     order = np.argsort(reach, kind="stable")
     weight = np.cumsum(shares[order]) / shares.sum()

@@ -41,7 +41,10 @@ _HEADING = re.compile(r"#{1,6}$|#{1,6}[^#]|={3,}$|-{3,}$|\*{3,}$|_{3,}$")
 _SENTENCE_END = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*$")
 _CLAUSE_END = re.compile(r"[,;:、，；：][\"'”’»)\]]*$|^[–—-]$|[–—]$|\)$")
 #: Words whose full stop does not end a sentence (fixed values).
-ABBREVIATIONS = frozenset("dr. mr. mrs. ms. prof. st. no. nr. vol. fig. approx. ca. etc. e.g. i.e. z.b. d.h. bzw. sr. sra. p.ej. av. env. vs. cf. ed. jr.".split())
+ABBREVIATIONS = frozenset("dr. mr. mrs. ms. prof. st. approx. ca. etc. e.g. i.e. z.b. d.h. bzw. sr. sra. p.ej. av. env. vs. cf. ed. jr.".split())
+
+#: The same before a number only (fixed values).
+NUMBERED = frozenset("no. nr. vol. fig. p. pp. art. sec.".split())
 
 
 def boundary_levels(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -58,7 +61,8 @@ def boundary_levels(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         word = text[start:end]
         if _SENTENCE_END.search(word):
             initial = len(word) == 2 and word[0].isupper()
-            if not initial and word.lower().lstrip("(\"'“«") not in ABBREVIATIONS:
+            low = word.lower().lstrip("(\"'“«")
+            if not initial and low not in ABBREVIATIONS and not (low in NUMBERED and text[follows[0]].isdigit()):
                 levels[k] = SENTENCE
         elif _CLAUSE_END.search(word):
             levels[k] = CLAUSE
