@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweir.functions.identity import content_id
-from graphweir.functions.similarity import cosine
 from graphweir.functions.text import strip
+from graphweir.operators.vector import block_knn
 
 
 def keys(table: DataFrame, key: str) -> DataFrame:
@@ -52,13 +52,17 @@ def delete(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 
 def cached_response(requests: DataFrame, cache: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """The best stored response per request above a cosine, exact hashes first.
+    """The stored response per request: that of its own hash, else the most similar one above a cosine.
 
-    Requests (request_id, mode, args_hash, embedding); cache (mode, args_hash,
-    embedding, response). Rows meet only within a mode.
+    Requests (request_id, mode, args_hash, embedding), a bounded batch; cache
+    (mode, args_hash, embedding, response). Rows meet only within a mode, in
+    blocks; ties go to the smaller hash.
     """
-    stored = cache.select("mode", F.col("args_hash").alias("stored_hash"), F.col("embedding").alias("stored"), "response")
-    scored = requests.join(stored, "mode").select("request_id", "response", "stored_hash", (F.col("args_hash") == F.col("stored_hash")).alias("exact"), cosine(F.col("embedding"), F.col("stored")).alias("similarity"))
-    hit = scored.where(F.col("exact") | (F.col("similarity") > threshold))
-    best = F.max_by(F.struct("response", "similarity"), F.struct("exact", "similarity", "stored_hash"))
-    return hit.groupBy("request_id").agg(best.alias("b")).select("request_id", F.col("b.response").alias("response"), F.col("b.similarity").alias("similarity"))
+    exact = requests.join(cache.select("mode", "args_hash", "response"), ["mode", "args_hash"]).groupBy("request_id").agg(F.min("response").alias("response")).withColumn("similarity", F.lit(1.0))
+    left = requests.join(exact.select("request_id"), "request_id", "left_anti")
+    queries = left.select(F.concat(F.lit("?"), F.col("request_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("v"), "mode")
+    keys_ = cache.select(F.col("args_hash").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "mode", "response")
+    near = block_knn(queries, keys_.select("id", "v", "mode"), 1, part="mode").where(F.col("cosine") > threshold)
+    best = near.join(keys_.select("id", "response").dropDuplicates(["id"]), "id")
+    similar = left.select("request_id", F.concat(F.lit("?"), F.col("request_id").cast("string")).alias("query_id")).join(best, "query_id").select("request_id", "response", F.col("cosine").alias("similarity"))
+    return exact.unionByName(similar)

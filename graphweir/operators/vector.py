@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from graphweir.functions.similarity import cosine, dot, min_max, norm
 
 SCORE_FLOOR = 0.2
-#: Most queries of one exact search; beyond, search in parts or use the forest.
-MOST_QUERIES = 2_000_000
+#: Most queries of one exact search, since each block holds them all; beyond, search in parts or use the forest.
+MOST_QUERIES = 100_000
 
 
 def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
@@ -30,29 +30,31 @@ def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & whole)
 
 
-def block_knn(queries: DataFrame, keys: DataFrame, k: int, floor: float | None = None, digits: int = 6, block_rows: int = 20_000, most_queries: int = MOST_QUERIES) -> DataFrame:
+def block_knn(queries: DataFrame, keys: DataFrame, k: int, floor: float | None = None, digits: int = 6, block_rows: int = 20_000, most_queries: int = MOST_QUERIES, part: str | None = None) -> DataFrame:
     """Exact k nearest keys by cosine for each query: query_id, id, cosine, rank.
 
-    Both inputs are (id, v). A query is no neighbour of itself. Ties go to the
+    Both inputs are (id, v), and with ``part`` a column that queries and keys
+    must share to meet. A query is no neighbour of itself. Ties go to the
     smaller id.
     """
     n_queries = queries.count()
     if n_queries > most_queries:
         raise ValueError(f"{n_queries} queries; search in parts of {most_queries}")
     blocks = max(1, -(-keys.count() // block_rows))
-    tagged = keys.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(True).alias("asks"), "id", "v")
+    share = F.col(part).cast("string").alias("part") if part else F.lit("").alias("part")
+    tagged = keys.select(share, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "v")
+    asked = queries.select(share, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(True).alias("asks"), "id", "v")
 
     def search(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ask = frame["asks"].to_numpy(bool)
         q, s = frame[ask], frame[~ask]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not len(q) or not len(s):
-            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+            return pd.DataFrame({"query_id": q["id"].to_numpy(object)[:0], "id": s["id"].to_numpy(object)[:0], "cosine": np.zeros(0)})
         a, b = np.stack(q["v"].to_numpy()), np.stack(s["v"].to_numpy())
         a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-        q_id, s_id = q["id"].to_numpy(), s["id"].to_numpy()
+        q_id, s_id = q["id"].to_numpy(object), s["id"].to_numpy(object)
         order_of_id = np.argsort(np.argsort(s_id, kind="stable"))
-        parts = []
         for first in range(0, len(a), 1000):
             c = np.round(a[first : first + 1000] @ b.T, digits)
             c[q_id[first : first + 1000, None] == s_id[None, :]] = -9
@@ -62,11 +64,11 @@ def block_knn(queries: DataFrame, keys: DataFrame, k: int, floor: float | None =
                 near = np.flatnonzero(c[row] >= kth[row])
                 near = near[np.lexsort((order_of_id[near], -c[row, near]))][:take]
                 near = near[c[row, near] >= (-2 if floor is None else floor)]
-                parts.append(pd.DataFrame({"query_id": q_id[first + row], "id": s_id[near], "cosine": c[row, near]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+                found.append((np.full(len(near), q_id[first + row], object), s_id[near], c[row, near]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "id", "cosine"), zip(*found, strict=True), strict=True)})
 
     kind = keys.schema["id"].dataType.simpleString()
-    found = tagged.unionByName(asked).groupBy("block").applyInPandas(search, f"query_id {kind}, id {kind}, cosine double")
+    found = tagged.unionByName(asked).groupBy("part", "block").applyInPandas(search, f"query_id {kind}, id {kind}, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

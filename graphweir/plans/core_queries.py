@@ -36,8 +36,7 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_report, p6_found, p6_values)}
 
-ORACLES: dict[str, str] = {
-    "p5_found": r"""
+_REFERENCES = r"""
 WITH refs AS (
   SELECT DISTINCT edge_id, created_at, unnest(regexp_extract_all(lower(source_id), '[^\s,;|"''`\[\]<>&]+')) AS k FROM edge_data WHERE source_id IS NOT NULL),
 ids AS (SELECT edge_id, created_at, k FROM refs WHERE k NOT IN ('', 'unknown', 'schema_extraction', 'sep', 'lt', 'gt')),
@@ -47,11 +46,17 @@ cols AS (
     nullif(trim(regexp_extract(regexp_replace(lower(trim(references_table)), '["''`\[\]]', '', 'g'), '([^.]*)$', 1)), '') AS rt,
     nullif(trim(regexp_extract(regexp_replace(lower(trim(references_column)), '["''`\[\]]', '', 'g'), '([^.]*)$', 1)), '') AS rc
   FROM schema_columns)
-SELECT DISTINCT 'edge_data' AS src_table, edge_id AS record_id, k AS ref_key FROM ids i
-WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.k = i.k AND ch.ingested_at <= i.created_at AND (ch.deleted_at IS NULL OR ch.deleted_at > i.created_at))
-UNION
-SELECT DISTINCT 'schema_columns', column_id, rt FROM cols c
-WHERE rt IS NOT NULL AND db_id IS NOT NULL AND (
-  NOT EXISTS (SELECT 1 FROM schema_tables t WHERE t.db_id = c.db_id AND lower(trim(t.table_name)) = c.rt AND t.first_seen_at <= c.extracted_at AND (t.dropped_at IS NULL OR t.dropped_at > c.extracted_at))
-  OR (rc IS NOT NULL AND NOT EXISTS (SELECT 1 FROM schema_columns s WHERE s.db_id = c.db_id AND lower(trim(s.table_name)) = c.rt AND lower(trim(s.name)) = c.rc)))""",
+"""
+_NO_TABLE = "NOT EXISTS (SELECT 1 FROM schema_tables t WHERE t.db_id = c.db_id AND lower(trim(t.table_name)) = c.rt AND t.first_seen_at <= c.extracted_at AND (t.dropped_at IS NULL OR t.dropped_at > c.extracted_at))"
+_NO_COLUMN = "(rc IS NOT NULL AND NOT EXISTS (SELECT 1 FROM schema_columns s WHERE s.db_id = c.db_id AND lower(trim(s.table_name)) = c.rt AND lower(trim(s.name)) = c.rc))"
+_NO_CHUNK = "NOT EXISTS (SELECT 1 FROM ch WHERE ch.k = i.k AND ch.ingested_at <= i.created_at AND (ch.deleted_at IS NULL OR ch.deleted_at > i.created_at))"
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"""{_REFERENCES}SELECT DISTINCT 'edge_data' AS src_table, edge_id AS record_id, k AS ref_key FROM ids i WHERE {_NO_CHUNK}
+UNION SELECT DISTINCT 'schema_columns', column_id, rt FROM cols c WHERE rt IS NOT NULL AND db_id IS NOT NULL AND ({_NO_TABLE} OR {_NO_COLUMN})""",
+    "p5_report": f"""{_REFERENCES}, o AS (
+  SELECT DISTINCT 'edge_data' AS src_table, 'chunk_info' AS parent_table, date_trunc('month', created_at) AS period, edge_id AS record_id, k AS ref_key FROM ids i WHERE {_NO_CHUNK}
+  UNION SELECT 'schema_columns', 'schema_tables', date_trunc('month', extracted_at), column_id, rt FROM cols c WHERE rt IS NOT NULL AND db_id IS NOT NULL AND {_NO_TABLE}
+  UNION SELECT 'schema_columns', 'schema_columns', date_trunc('month', extracted_at), column_id, rt FROM cols c WHERE rt IS NOT NULL AND db_id IS NOT NULL AND {_NO_COLUMN})
+SELECT src_table, parent_table, period, count(*) AS orphan_references, count(DISTINCT record_id) AS orphan_records FROM o GROUP BY ALL""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -59,6 +60,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Used where several later jobs read the same columns: Parquet keeps column
     pruning, which a checkpointed RDD does not.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_drop_written, spark)
+    _WRITTEN.append(path)
+    return spark.read.parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def _drop_written(spark: SparkSession) -> None:
+    """Removes the tables of this process from the shared folder when it ends; best effort."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _WRITTEN:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        return
