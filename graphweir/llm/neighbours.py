@@ -43,9 +43,9 @@ from pyspark.sql.window import Window
 from graphweir.session import written
 
 DIMS = 96
-TREES = 20
+TREES = 16
 BITS = 64
-REACH = 256
+REACH = 384
 SEED = 20240501
 #: Copies of the result of a class of equal vectors, so that a class with very
 #: many members is joined in as many parts.
