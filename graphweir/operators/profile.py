@@ -37,11 +37,12 @@ def class_of(kind: T.DataType) -> str:
     return "temporal" if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "numeric" if isinstance(kind, T.NumericType) else "text" if isinstance(kind, T.StringType) else "other"
 
 
-def column_stats(df: DataFrame, table: str) -> DataFrame:
+def column_stats(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """One row per simple column: rows, distinct, nulls, ratios, least, greatest, mean, text length, date span.
 
     Distinct values are counted exactly by one aggregation over the unpivoted
-    columns, partial before its shuffle; the rest is one scan.
+    columns, partial before its shuffle; the rest is one scan. With ``exact``
+    False they are sketched in that scan, and nothing but the sketches is shuffled.
     """
     fields = _simple(df)
     parts = []
@@ -60,13 +61,14 @@ def column_stats(df: DataFrame, table: str) -> DataFrame:
                 F.avg(number).alias("avg_value"),
                 (F.avg(F.length(c)) if kind == "text" else F.lit(None).cast("double")).alias("avg_length"),
                 ((F.max(micros) - F.min(micros)) / 86_400_000_000.0).alias("span_days"),
+                (F.lit(None).cast("bigint") if exact else F.approx_count_distinct(c)).alias("sketched"),
             )
         )
     stats = df.agg(*[p.alias(f"s{k}") for k, p in enumerate(parts)]).select(F.explode(F.array(*[F.col(f"s{k}") for k in range(len(parts))])).alias("s")).select("s.*")
     values = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("v")) for f in fields])).alias("x")).select("x.column_name", "x.v").where("v is not null")
     distinct = values.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-    d = F.coalesce("distinct_count", F.lit(0))
-    return stats.join(distinct, "column_name", "left").select(
+    d = F.coalesce("distinct_count", F.lit(0)) if exact else F.col("sketched")
+    return (stats.join(distinct, "column_name", "left") if exact else stats).select(
         F.lit(table).alias("table_name"), "column_name", "type_class", "row_count", d.alias("distinct_count"), "null_count",
         (F.round(F.col("null_count") * 10_000.0 / F.nullif("row_count", F.lit(0))) / 10_000).alias("nullability"), (F.round(d * 10_000.0 / F.nullif("row_count", F.lit(0))) / 10_000).alias("cardinality"),
         "min_value", "max_value", F.round("avg_value", 4).alias("avg_value"), F.round("avg_length", 2).alias("avg_length"), F.round("span_days", 2).alias("date_range_days"),

@@ -56,8 +56,12 @@ def parents(df: DataFrame, table: str, key: Column, since: Column | None = None,
 
 
 def children(df: DataFrame, table: str, key: Column, src_table: str, record_id: Column, ref_key: Column, at: Column | None, period: Column) -> DataFrame:
-    """Long child rows of ``df``; ``at`` None asks for the key at any time."""
-    when = F.lit(OPEN_START).cast("timestamp") if at is None else at.cast("timestamp")
+    """Long child rows of ``df``; ``at`` None asks for the key at any time.
+
+    Such rows keep the time of their period, by which a hot key is spread;
+    parents of any time cover it.
+    """
+    when = F.coalesce(period.cast("timestamp"), F.lit(OPEN_START).cast("timestamp")) if at is None else at.cast("timestamp")
     return df.select(
         F.lit(table).alias("parent_table"),
         key.cast("string").alias("key"),
@@ -73,20 +77,18 @@ def children(df: DataFrame, table: str, key: Column, src_table: str, record_id:
 def orphans(*parts: DataFrame) -> DataFrame:
     """The orphan children of the union of long ``parts``: one row per
     (src_table, record_id, ref_key, parent_table, period)."""
-    long = reduce(DataFrame.unionByName, parts).withColumn("day", F.to_date("at"))
+    everything = reduce(DataFrame.unionByName, parts)
+    timeless = everything.where("at is null and src_table is not null").select("src_table", "record_id", "ref_key", "parent_table", "period")
+    long = everything.where("at is not null").withColumn("day", F.to_date("at"))
     days = long.groupBy("parent_table", "key", "day").agg(F.max("until").alias("latest"), F.max(F.col("src_table").isNotNull()).alias("asked"))
     over_days = Window.partitionBy("parent_table", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    # a day without parents of its own whose inherited end lies beyond it needs no rows of its own
-    inherited = days.withColumn("inherited", F.max("latest").over(over_days)).where("asked").select("parent_table", "key", F.coalesce("day", F.lit(OPEN_START).cast("date")).alias("day"), "inherited")
-    rows = long.withColumn("day", F.coalesce("day", F.lit(OPEN_START).cast("date"))).join(inherited, ["parent_table", "key", "day"])
+    # a day that no child asks about needs no rows of its own
+    inherited = days.withColumn("inherited", F.max("latest").over(over_days)).where("asked").select("parent_table", "key", "day", "inherited")
+    rows = long.join(inherited, ["parent_table", "key", "day"])
     within = Window.partitionBy("parent_table", "key", "day").orderBy("at", F.col("src_table").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covered = F.greatest("inherited", F.max("until").over(within)) > F.col("at")
-    return (
-        rows.withColumn("covered", F.coalesce(covered, F.lit(False)))
-        .where("src_table is not null and not covered")
-        .select("src_table", "record_id", "ref_key", "parent_table", "period")
-        .distinct()
-    )
+    found = rows.withColumn("covered", F.coalesce(covered, F.lit(False))).where("src_table is not null and not covered")
+    return found.select("src_table", "record_id", "ref_key", "parent_table", "period").unionByName(timeless).distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
