@@ -159,5 +159,5 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, over
 
 
 def oversized_keys(pieces: DataFrame, key: str) -> DataFrame:
-    """The keys of items that were divided."""
-    return pieces.where("piece = 1").select(key).distinct()
+    """The keys of items that were divided; an item without a key has none."""
+    return pieces.where("piece = 1").where(F.col(key).isNotNull()).select(key).distinct()
