@@ -73,6 +73,27 @@ def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[
     return nodes.join(g, "name", "left_anti"), left.select(*edges.columns)
 
 
+def cascade_delete(nodes: DataFrame, edges: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, entity vectors (name) and relation vectors (src_id, tgt_id) without the entities of ``gone`` (name)."""
+    from graphweir.operators import vector
+
+    n, e = without_nodes(nodes, edges, gone)
+    return n, e, vector.by_entity(entity_vectors, "name", gone), vector.relations_without(relation_vectors, gone)
+
+
+def cluster_json(members: DataFrame, edges: DataFrame, nodes: DataFrame, cluster: str) -> DataFrame:
+    """Each cluster of (cluster, name, x) as a JSON text: its nodes in order of flow, with their degree
+    inside the cluster as rank, and its inner edges. A cluster is one row by nature."""
+    inner = induced(edges, members, cluster)
+    ends = inner.select(cluster, F.col("src").alias("name")).unionByName(inner.select(cluster, F.col("tgt").alias("name"))).groupBy(cluster, "name").agg(F.count(F.lit(1)).alias("rank"))
+    known = nodes.groupBy("name").agg(F.max("entity_type").alias("entity_type"))
+    rows = members.groupBy(cluster, "name").agg(F.max("x").alias("x")).join(ends, [cluster, "name"], "left").join(known, "name", "left")
+    listed = rows.groupBy(cluster).agg(F.max("x").alias("max_flow_value"), F.count(F.lit(1)).alias("cluster_size"), F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("o"), F.col("name").alias("entity"), F.coalesce("entity_type", F.lit("UNKNOWN")).alias("entity_type"), F.coalesce("rank", F.lit(0)).alias("rank")))).alias("n"))
+    linked = inner.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("src", "tgt", "weight"))).alias("edges"), F.count(F.lit(1)).alias("total_edges"))
+    body = F.struct("cluster_size", "max_flow_value", F.transform("n", lambda x: F.struct(x["entity"].alias("entity"), x["entity_type"].alias("entity_type"), x["rank"].alias("rank"))).alias("nodes"), F.coalesce("edges", F.array().cast("array<struct<src:string,tgt:string,weight:double>>")).alias("edges"), F.coalesce("total_edges", F.lit(0)).alias("total_edges"))
+    return listed.join(linked, cluster, "left").select(cluster, F.to_json(body).alias("json"))
+
+
 def stats(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.groupBy(F.coalesce(F.col(kind), F.lit("unknown")).alias("entity_type")).agg(F.count(F.lit(1)).alias("nodes"))
 

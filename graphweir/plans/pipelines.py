@@ -24,8 +24,8 @@ from graphweir.operators import schema_graph as sg
 from graphweir.providers import HashedWords, capitalised_runs
 from graphweir.session import checkpointed, written
 
-#: Queries times edges of one diffusion job; beyond, queries go in several jobs.
-MOST_QUERY_EDGES = 2_000_000_000
+#: Words that a greater share of passages hold are stop words of the passage index.
+COMMON_SHARE = 0.05
 
 
 def extract_facts(chunks: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def passage_graph(chunks: DataFrame, facts: DataFrame, settings: PassageSettings
 def retrieve_passages(questions: DataFrame, chunks: DataFrame, settings: PassageSettings | None = None, dims: int = 64) -> DataFrame:
     """Ranked passages for questions (query_id, question): query_id, rank, chunk_id, score.
 
-    Facts are scored where they share a word with the question, so that
-    questions and facts meet by words and not by a product of tables. A
-    question without such facts falls back to passages scored the same way.
+    Facts and passages are scored where they share a telling word with the
+    question, so that these meet by words and not by a product of tables. A
+    question whose facts lead to no passage falls back to passages scored alone.
     """
     settings = settings or PassageSettings()
     embedder = HashedWords(dims)
@@ -64,16 +64,21 @@ def retrieve_passages(questions: DataFrame, chunks: DataFrame, settings: Passage
     q = written(questions.select("query_id", "question").distinct().withColumn("q", embedder.embed(F.col("question"))), "questions")
     words_of = lambda df, key, c: df.select(*key, F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))).alias("w"))
     asked = words_of(q, ["query_id"], "question")
-    # dense ranking of the passages that share a word
-    met = asked.join(words_of(chunks, ["chunk_id"], "content"), "w").select("query_id", "chunk_id").distinct()
-    vectors = chunks.select("chunk_id", embedder.embed(F.col("content")).alias("v"))
-    dense = met.join(vectors, "chunk_id").join(q.select("query_id", "q"), "query_id").select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("node"), dot(F.col("q"), F.col("v")).alias("raw"))
+    # stored vectors are far smaller than in memory, so their joins are not left to size estimates
+    # dense ranking of the passages that share a telling word; words of many passages tell nothing
+    index = written(words_of(chunks, ["chunk_id"], "content"), "index")
+    most = max(10, int(COMMON_SHARE * chunks.count()))
+    common = index.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("w")
+    asked = written(asked.join(common, "w", "left_anti"), "asked")
+    met = asked.join(index, "w").select("query_id", "chunk_id").distinct()
+    vectors = written(chunks.select("chunk_id", embedder.embed(F.col("content")).alias("v")), "chunk-vectors")
+    dense = met.join(vectors.hint("merge"), "chunk_id").join(q.select("query_id", "q"), "query_id").select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("node"), dot(F.col("q"), F.col("v")).alias("raw"))
     dense = written(dense.withColumn("score", min_max(F.col("raw"), "query_id")).select("query_id", "node", "score"), "dense")
     # facts, entity seeds
     label = F.concat_ws(" ", "s", "p", "o")
-    one = facts.select("fact_id", "s", "p", "o").dropDuplicates(["fact_id"])
+    one = written(facts.select("fact_id", "s", "p", "o").dropDuplicates(["fact_id"]).withColumn("fv", embedder.embed(label)), "fact-vectors")
     fact_met = asked.join(words_of(one.withColumn("t", label), ["fact_id"], "t"), "w").select("query_id", "fact_id").distinct()
-    fact_scores = fact_met.join(one, "fact_id").join(q.select("query_id", "q"), "query_id").select("query_id", "fact_id", "s", "o", dot(F.col("q"), embedder.embed(label)).alias("raw"))
+    fact_scores = fact_met.join(one.hint("merge"), "fact_id").join(q.select("query_id", "q"), "query_id").select("query_id", "fact_id", "s", "o", dot(F.col("q"), F.col("fv")).alias("raw"))
     top = retrieval.best(fact_scores.withColumn("score", min_max(F.col("raw"), "query_id")), ["query_id"], "score", "fact_id", settings.linking_top_k)
     seeds = retrieval.entity_seeds(top, graph.entity_chunks(facts), settings.linking_top_k).select("query_id", F.concat(F.lit("entity:"), "node").alias("node"), "weight")
     all_seeds = diffusion.seed_weights(retrieval.combined_seeds(seeds, dense, settings.passage_node_weight))
@@ -82,8 +87,9 @@ def retrieve_passages(questions: DataFrame, chunks: DataFrame, settings: Passage
     for _ in range(2):
         step = near.join(edges.select(F.col("src").alias("node"), "tgt"), "node").select("query_id", F.col("tgt").alias("node"))
         near = written(near.unionByName(step).distinct(), "near")
-    node_vectors = nodes.join(chunks.select(F.concat(F.lit("chunk:"), "chunk_id").alias("name"), "content"), "name", "left").select(F.col("name").alias("node"), embedder.embed(F.coalesce("content", F.substring_index("name", ":", -1))).alias("v"))
-    sim = near.join(node_vectors, "node").join(q.select("query_id", "q"), "query_id").select("query_id", "node", cosine01(F.col("q"), F.col("v")).alias("sim"))
+    entities = nodes.where("kind = 'entity'").select(F.col("name").alias("node"), embedder.embed(F.substring_index("name", ":", -1)).alias("v"))
+    node_vectors = written(entities.unionByName(vectors.select(F.concat(F.lit("chunk:"), "chunk_id").alias("node"), "v")), "node-vectors")
+    sim = near.join(node_vectors.hint("merge"), "node").join(q.select("query_id", "q"), "query_id").select("query_id", "node", cosine01(F.col("q"), F.col("v")).alias("sim"))
     mass = diffusion.source_mass(all_seeds.withColumn("source", F.lit("")), settings.alpha)
     x = diffusion.diffuse(diffusion.query_edges(edges, written(sim, "similarity"), settings.edge_weight_scheme), diffusion.capacities(edges, nodes), mass, min(settings.rounds, 3), settings.epsilon, settings.step)
     ranked = diffusion.passages(x, nodes.where("kind = 'passage'").select(F.col("name").alias("node"))).select("query_id", "node", "score")

@@ -100,6 +100,36 @@ def test_diffusion_against_numpy(spark):
     assert all(math.isclose(got.get(k, 0.0), v, abs_tol=1e-9) for k, v in want.items()) and math.isclose(total, 15, rel_tol=1e-6)
 
 
+def test_order_does_not_matter_below_capacity(spark):
+    rows = _random_graph(4)
+    both = graph.undirected(spark.createDataFrame(rows, "src STRING, tgt STRING, weight DOUBLE"))
+    nodes = both.select(F.col("src").alias("name")).distinct()
+    sims = nodes.select(F.lit(0).alias("query_id"), F.col("name").alias("node"), F.lit(0.3).alias("sim"))
+    first = min(r[0] for r in rows)
+    mass = diffusion.source_mass(spark.createDataFrame([(0, first, first, 1.0)], "query_id INT, source STRING, node STRING, weight DOUBLE"), 0.3)
+    e, sinks = diffusion.query_edges(both, sims, "none"), diffusion.capacities(both, nodes)
+    a = {r.node: r.x for r in diffusion.diffuse(e, sinks, mass, 30, epsilon=1e-7).collect()}
+    b = {r.node: r.x for r in diffusion.diffuse_sequential(e, sinks, mass, 5000, epsilon=1e-7).collect()}
+    assert set(a) == set(b) and all(math.isclose(a[k], b[k], rel_tol=1e-3, abs_tol=1e-5) for k in a)
+
+
+def test_cascade_and_cluster_json(spark):
+    n = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", None)], "name STRING, entity_type STRING")
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], "src STRING, tgt STRING, weight DOUBLE")
+    r = spark.createDataFrame([("a", "b"), ("b", "c")], "src_id STRING, tgt_id STRING")
+    left = graph.cascade_delete(n, e, n.select("name"), r, spark.createDataFrame([("a",)], "name STRING"))
+    assert [x.count() for x in left] == [2, 1, 2, 1]
+    m = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.9), (2, "c", 0.1)], "c INT, name STRING, x DOUBLE")
+    got = {x.c: json.loads(x.json) for x in graph.cluster_json(m, e, n, "c").collect()}
+    assert [v["entity"] for v in got[1]["nodes"]] == ["b", "a"] and got[1]["total_edges"] == 1 and got[2]["nodes"][0]["rank"] == 0
+
+
+def test_table_names(spark, small):
+    from graphweir.sources import tables
+
+    assert {"documents", "orders"} <= set(tables.names(spark, small)) and ("doc_id", "bigint") in tables.columns(spark, small, "documents")
+
+
 def test_components_and_pagerank(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("d", "e", 1.0)], "src STRING, tgt STRING, weight DOUBLE")
     n = spark.createDataFrame([(x,) for x in "abcdef"], "name STRING")
