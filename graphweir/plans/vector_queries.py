@@ -67,7 +67,7 @@ def vector_cached_response(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("mode"), "embedding")
     requests = rows.where(F.col("id") % 20 == 0).select(F.col("id").alias("request_id"), "mode", F.lit("").alias("args_hash"), "embedding")
     cache = rows.where(F.col("id") % 20 != 0).select("mode", F.format_string("%08d", "id").alias("args_hash"), "embedding", F.concat(F.lit("r"), F.col("id").cast("string")).alias("response"))
-    return kv.cached_response(requests, cache, 0.2).select("request_id", "response", F.round("similarity", 5).alias("similarity"))
+    return kv.cached_response(requests, cache, 0.2)
 
 
 def vector_hashed_words(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ SELECT id, list_sum(list_transform(v, lambda x: round((x - list_min(v)) / (list_
     "vector_cached_response": """
 WITH k AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
 c AS (SELECT a.id AS request_id, b.id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM k a JOIN k b USING (label) WHERE a.id % 20 = 0 AND b.id % 20 <> 0)
-SELECT request_id, 'r' || id AS response, round(round(s, 6), 5) AS similarity FROM c WHERE s > 0.2 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(s, 6) DESC, id) = 1""",
+SELECT request_id, 'r' || id AS response, round(s, 6) AS similarity FROM c WHERE s > 0.2 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(s, 6) DESC, id) = 1""",
     "vector_hashed_words": r"""
 WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(title), '[ \t\n\r\f]+'), lambda x: x <> ''), lambda w: (('0x' || md5(w)[1:7])::INT) % 64) AS b FROM documents WHERE title IS NOT NULL),
 c AS (SELECT doc_id, list_transform(range(64), lambda k: len(list_filter(b, lambda x: x = k))::DOUBLE) AS c FROM t)
