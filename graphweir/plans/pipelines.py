@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphweir.config import PassageSettings, QuerySettings
 from graphweir.functions.similarity import cosine01, dot, min_max
-from graphweir.operators import diffusion, graph, retrieval, text
+from graphweir.operators import diffusion, graph, retrieval, text, vector
 from graphweir.operators import schema_graph as sg
 from graphweir.providers import HashedWords, capitalised_runs
 from graphweir.session import checkpointed, written
@@ -39,11 +39,15 @@ def extract_facts(chunks: DataFrame) -> DataFrame:
     return text.facts(pairs.select("chunk_id", "x.s", F.lit("next to").alias("p"), "x.o"), "chunk_id", "s", "p", "o").where("s != o")
 
 
-def passage_graph(chunks: DataFrame, facts: DataFrame, settings: PassageSettings) -> tuple[DataFrame, DataFrame]:
-    """Nodes (name, kind) and undirected edges of entities and passages; entity names and chunk ids are told apart by prefix."""
+def passage_graph(chunks: DataFrame, facts: DataFrame, settings: PassageSettings, dims: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, kind) and undirected edges of entities and passages, similar entities joined too; entity names and chunk ids are told apart by prefix."""
     named = facts.select(F.concat(F.lit("chunk:"), "chunk").alias("chunk"), F.concat(F.lit("entity:"), "s").alias("s"), "p", F.concat(F.lit("entity:"), "o").alias("o"))
     fact, passage = graph.fact_edges(named), graph.passage_edges(named)
-    edges = graph.combine(fact.limit(0), passage, fact)
+    entities = facts.select(F.explode(F.array("s", "o")).alias("name")).distinct().select(F.col("name").alias("id"), "name", HashedWords(dims).embed(F.col("name")).alias("v"))
+    entities = written(entities.where(F.exists("v", lambda x: x != 0)), "entity-vectors")
+    similar = vector.synonym_edges(entities.select("id", "v"), entities.select("id", "name"), settings.synonymy_threshold, settings.synonymy_most, settings.synonymy_top_k)
+    synonym = similar.select(F.concat(F.lit("entity:"), "src").alias("src"), F.concat(F.lit("entity:"), "tgt").alias("tgt"), "weight")
+    edges = graph.combine(synonym, passage, fact)
     nodes = named.select(F.explode(F.array("s", "o")).alias("name")).distinct().withColumn("kind", F.lit("entity")).unionByName(chunks.select(F.concat(F.lit("chunk:"), "chunk_id").alias("name")).distinct().withColumn("kind", F.lit("passage")))
     return nodes, graph.parallel(graph.guarded(edges, nodes)).groupBy("src", "tgt").agg(F.sum("weight").alias("weight"))
 
@@ -52,14 +56,16 @@ def retrieve_passages(questions: DataFrame, chunks: DataFrame, settings: Passage
     """Ranked passages for questions (query_id, question): query_id, rank, chunk_id, score.
 
     Facts and passages are scored where they share a telling word with the
-    question, so that these meet by words and not by a product of tables. A
-    question whose facts lead to no passage falls back to passages scored alone.
+    question, so that these meet by words and not by a product of tables; a
+    question that has words, but no telling one, is met with all passages by an
+    exact block search. A question whose facts lead to no passage falls back to
+    passages scored alone.
     """
     settings = settings or PassageSettings()
     embedder = HashedWords(dims)
     chunks = written(chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"]), "chunks")
     facts = written(extract_facts(chunks), "facts")
-    nodes, edges = passage_graph(chunks, facts, settings)
+    nodes, edges = passage_graph(chunks, facts, settings, dims)
     edges = written(edges, "edges")
     q = written(questions.select("query_id", "question").distinct().withColumn("q", embedder.embed(F.col("question"))), "questions")
     words_of = lambda df, key, c: df.select(*key, F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))).alias("w"))
@@ -69,29 +75,37 @@ def retrieve_passages(questions: DataFrame, chunks: DataFrame, settings: Passage
     index = written(words_of(chunks, ["chunk_id"], "content"), "index")
     most = max(10, int(COMMON_SHARE * chunks.count()))
     common = index.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("w")
-    asked = written(asked.join(common, "w", "left_anti"), "asked")
-    met = asked.join(index, "w").select("query_id", "chunk_id").distinct()
+    telling = written(asked.join(common, "w", "left_anti"), "asked")
+    met = telling.join(index, "w").select("query_id", "chunk_id").distinct()
     vectors = written(chunks.select("chunk_id", embedder.embed(F.col("content")).alias("v")), "chunk-vectors")
     dense = met.join(vectors.hint("merge"), "chunk_id").join(q.select("query_id", "q"), "query_id").select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("node"), dot(F.col("q"), F.col("v")).alias("raw"))
+    # questions of common words alone: all passages, the best that are retrieved at most
+    plain = asked.join(index.select("w").distinct(), "w", "left_semi").select("query_id").distinct().join(met, "query_id", "left_anti").join(q, "query_id")
+    plain = written(plain.where(F.exists("q", lambda x: x != 0)).select(F.concat(F.lit("question:"), F.col("query_id").cast("string")).alias("id"), "query_id", F.col("q").alias("v")), "plain")
+    keys = vectors.where(F.exists("v", lambda x: x != 0)).select(F.concat(F.lit("chunk:"), "chunk_id").alias("id"), "v")
+    close = vector.block_knn(plain.select("id", "v"), keys, settings.retrieval_top_k).select(F.col("query_id").alias("asker"), F.col("id").alias("node"))
+    close = close.join(plain.select(F.col("id").alias("asker"), "query_id", F.col("v").alias("q")), "asker").join(keys.withColumnRenamed("id", "node").hint("merge"), "node")
+    dense = dense.unionByName(close.select("query_id", "node", dot(F.col("q"), F.col("v")).alias("raw")))
     dense = written(dense.withColumn("score", min_max(F.col("raw"), "query_id")).select("query_id", "node", "score"), "dense")
     # facts, entity seeds
     label = F.concat_ws(" ", "s", "p", "o")
     one = written(facts.select("fact_id", "s", "p", "o").dropDuplicates(["fact_id"]).withColumn("fv", embedder.embed(label)), "fact-vectors")
-    fact_met = asked.join(words_of(one.withColumn("t", label), ["fact_id"], "t"), "w").select("query_id", "fact_id").distinct()
+    words_asked = telling.unionByName(asked.join(plain.select("query_id"), "query_id", "left_semi").select(*telling.columns))
+    fact_met = words_asked.join(words_of(one.withColumn("t", label), ["fact_id"], "t"), "w").select("query_id", "fact_id").distinct()
     fact_scores = fact_met.join(one.hint("merge"), "fact_id").join(q.select("query_id", "q"), "query_id").select("query_id", "fact_id", "s", "o", dot(F.col("q"), F.col("fv")).alias("raw"))
     top = retrieval.best(fact_scores.withColumn("score", min_max(F.col("raw"), "query_id")), ["query_id"], "score", "fact_id", settings.linking_top_k)
     seeds = retrieval.entity_seeds(top, graph.entity_chunks(facts), settings.linking_top_k).select("query_id", F.concat(F.lit("entity:"), "node").alias("node"), "weight")
     all_seeds = diffusion.seed_weights(retrieval.combined_seeds(seeds, dense, settings.passage_node_weight))
     # similarity of the nodes that a question can reach in the rounds given; others are not touched
     near = written(all_seeds.select("query_id", "node").distinct(), "near")
-    for _ in range(2):
+    for _ in range(settings.rounds):
         step = near.join(edges.select(F.col("src").alias("node"), "tgt"), "node").select("query_id", F.col("tgt").alias("node"))
         near = written(near.unionByName(step).distinct(), "near")
     entities = nodes.where("kind = 'entity'").select(F.col("name").alias("node"), embedder.embed(F.substring_index("name", ":", -1)).alias("v"))
     node_vectors = written(entities.unionByName(vectors.select(F.concat(F.lit("chunk:"), "chunk_id").alias("node"), "v")), "node-vectors")
     sim = near.join(node_vectors.hint("merge"), "node").join(q.select("query_id", "q"), "query_id").select("query_id", "node", cosine01(F.col("q"), F.col("v")).alias("sim"))
     mass = diffusion.source_mass(all_seeds.withColumn("source", F.lit("")), settings.alpha)
-    x = diffusion.diffuse(diffusion.query_edges(edges, written(sim, "similarity"), settings.edge_weight_scheme), diffusion.capacities(edges, nodes), mass, min(settings.rounds, 3), settings.epsilon, settings.step)
+    x = diffusion.diffuse(diffusion.query_edges(edges, written(sim, "similarity"), settings.edge_weight_scheme), diffusion.capacities(edges, nodes), mass, settings.rounds, settings.epsilon, settings.step)
     ranked = diffusion.passages(x, nodes.where("kind = 'passage'").select(F.col("name").alias("node"))).select("query_id", "node", "score")
     both = retrieval.or_fallback(ranked, dense)
     out = retrieval.best(both, ["query_id"], "score", "node", settings.retrieval_top_k)

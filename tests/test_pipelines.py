@@ -34,6 +34,25 @@ def test_passages_are_found(spark):
     assert got[1][1] == "c1" and got[2][1] == "c2" and 3 not in got
 
 
+def test_common_words_and_far_passages_are_answered(spark):
+    """A question of common words alone, and a passage reached after more than three rounds."""
+    names = ["Alder Mill", "Birch Bridge", "Cedar River", "Dune House", "Elm Harbour", "Fern Tower", "Gorse Lodge"]
+    rows = [(f"h{k}", f"{a} near {b}.") for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    rows += [(f"n{k:02d}", "water everywhere and nothing else") for k in range(14)]
+    chunks = spark.createDataFrame(rows, "chunk_id STRING, content STRING")
+    asked = spark.createDataFrame([(1, "water everywhere"), (2, "Alder Mill")], "query_id INT, question STRING")
+    got = {}
+    for r in pl.retrieve_passages(asked, chunks, PassageSettings(linking_top_k=1, edge_weight_scheme="none", alpha=50.0, rounds=5)).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert got[1] and got[1] >= {"n00"} and {"h0", "h3"} <= got[2]
+
+
+def test_similar_entities_are_joined(spark):
+    chunks = spark.createDataFrame([("c1", "Alder Mill saw Birch Bridge."), ("c2", "Mill Alder met Cedar River.")], "chunk_id STRING, content STRING")
+    _, edges = pl.passage_graph(chunks, pl.extract_facts(chunks), PassageSettings())
+    assert edges.where("src ilike 'entity:alder mill' and tgt ilike 'entity:mill alder'").count() == 1
+
+
 def test_entity_context_keeps_its_budgets(spark, small):
     nodes = load(spark, small, "entity_nodes").groupBy(F.col("entity_name").alias("name")).agg(F.max("entity_type").alias("entity_type"), F.max("description").alias("description"))
     edges = graph.edge_list(load(spark, small, "edge_data").distinct(), "src_id", "tgt_id", "weight")
