@@ -44,8 +44,8 @@ BLOCK = 2048
 SHARD_BLOCKS = 512
 SHARE = 50_000
 SEED = 7
-#: Without a given total, sources of so much target weight may fall short of their shares.
-SHORT_WEIGHT = 0.1
+#: Blocks from which draws come from the normal distribution of the same mean and variance, rounded: the library draws no larger ones.
+MOST_EXACT = 900_000_000
 #: A table of targets is a setting, not data; a longer one is refused.
 MOST_TARGETS = 100_000
 
@@ -69,19 +69,32 @@ def allocate(available: np.ndarray, shares: np.ndarray, repeats: np.ndarray, tot
     return given
 
 
-def natural_total(available: np.ndarray, shares: np.ndarray, repeats: np.ndarray, short_weight: float = SHORT_WEIGHT) -> int:
-    """The largest total at which only the smallest sources, of at most
-    ``short_weight`` of all target weight, cannot reach their shares. (The
-    total at which none falls short would hang on the tiniest source; those that
-    have nothing to give fall short of any total.)"""
-    some = available * repeats > 0
+def natural_total(available: np.ndarray, shares: np.ndarray, repeats: np.ndarray) -> int:
+    """The largest total at which every source that has texts reaches its share (of the shares of all that have some)."""
+    some = (available * repeats > 0) & (shares > 0)
     if not some.any():
         return 0
-    available, shares, repeats = available[some], shares[some], repeats[some]
-    reach = available * repeats / shares
-    order = np.argsort(reach, kind="stable")
-    weight = np.cumsum(shares[order]) / shares.sum()
-    return int(reach[order][min(np.searchsorted(weight, short_weight + 1e-9, "right"), len(order) - 1)])
+    return int((available * repeats / np.where(some, shares, 1.0))[some].min() * shares[some].sum())
+
+
+def _hypergeometric(good: int, bad: int, taken: int, rng: np.random.Generator) -> int:
+    """How many of ``good`` are among ``taken`` of all, without replacement."""
+    total = good + bad
+    if total < MOST_EXACT:
+        return int(rng.hypergeometric(good, bad, taken)) if total and taken else 0
+    share = good / total
+    spread = (taken * share * (1 - share) * (total - taken) / (total - 1)) ** 0.5
+    return int(min(max(round(taken * share + spread * rng.standard_normal()), taken - bad, 0), good, taken))
+
+
+def draw(counts: np.ndarray, taken: int, rng: np.random.Generator) -> np.ndarray:
+    """Blocks of each source among so many taken of all: multinomial counts, conditioned on the totals."""
+    drawn, rest = np.zeros_like(counts), int(counts.sum())
+    for k, own in enumerate(counts.tolist()):
+        rest -= own
+        drawn[k] = _hypergeometric(own, rest, taken, rng)
+        taken -= int(drawn[k])
+    return drawn
 
 
 def shard_counts(totals: np.ndarray, shards: int, shard: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +106,7 @@ def shard_counts(totals: np.ndarray, shards: int, shard: int, per_shard: int, se
         mid = (lo + hi) // 2
         left_slots = min(mid * per_shard, slots) - lo * per_shard
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(counts, left_slots, method="marginals")
+        left = draw(counts, left_slots, rng)
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -173,7 +186,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     slots_n = int(counts.sum())
     shards = max(1, -(-slots_n // shard_blocks))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 drawn, before = shard_counts(counts, shards, shard, shard_blocks, seed)
@@ -190,7 +203,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
                 columns = [np.full(len(which), shard), np.arange(len(which)), pa.array([names[k] for k in which[order]], pa.string()), epoch[order].astype(np.int64), number[order].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "slot", "source", "epoch", "block"])
 
-    drawn = spark.range(shards if slots_n else 0).mapInArrow(draw, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
+    drawn = spark.range(shards if slots_n else 0).mapInArrow(slots, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
     buckets = max(1, -(-sum(t for _, t in known.values()) // SHARE))
     segments = blocks(sizes, block, buckets)
     return drawn.join(segments, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "doc_id", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("n_tokens"))
@@ -198,6 +211,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 def mix_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: the share wanted and reached, tokens, and the most often a segment was used."""
+    selection = written(selection.select("source", "epoch", "n_tokens"), "selection")  # read twice
     used = selection.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_uses"))
     joined = targets.where("source is not null").select("source", "target_share", "max_repeats").distinct().join(used, "source", "left")
     tokens = F.coalesce("tokens", F.lit(0))

@@ -31,7 +31,7 @@ from graphweir.llm.tokens import VOCABULARY, count_tokens
 from graphweir.session import written
 
 CAPACITY = 2048
-SHARE = 20_000
+SHARE = 2_000
 ROUNDS = 3
 
 
@@ -134,10 +134,10 @@ def fill(sizes: DataFrame, capacity: int = CAPACITY, share: int = SHARE, rounds:
     partitions = -(-total // share)
     current = written(_spread(items, partitions, 0, capacity), "packed-0")
     done: list[DataFrame] = []
-    for number in range(1, rounds):
+    for number in range(1, rounds + 1):
         gap = current.where("bins > bound")
         state = gap.where("bin = 0").select("part", "bins").distinct().agg(F.count("part"), F.sum("bins")).first()
-        if not state[0] or partitions == 1:
+        if state[0] < 2:  # none to exchange with
             break
         partitions = -(-state[0] // 2)
         again = written(_spread(gap.withColumn("copy", F.monotonically_increasing_id()), partitions, number, capacity), f"packed-{number}")

@@ -54,3 +54,21 @@ def test_every_token_is_in_one_block(spark):
     assert (got.groupby("doc_id").apply(lambda g: (g.token_end - g.token_start).sum(), include_groups=False) == [7 + k % 5 for k in range(500)]).all()
     full = got.groupby("block").apply(lambda g: (g.token_end - g.token_start).sum(), include_groups=False)
     assert (full.sort_index().iloc[:-1] == 64).all()
+
+
+def test_draws_of_very_many_blocks():
+    """No limit on blocks: counts add up, stay within what there is, and near their expectation."""
+    totals = np.array([6_000_000_000, 3_000_000_000, 1_000_000_000, 7], np.int64)
+    shards = -(-int(totals.sum()) // 512)
+    for shard in (0, 12_345_678, shards - 1):
+        counts, before = mx.shard_counts(totals, shards, shard, 512, 3)
+        assert counts.sum() == min(512, totals.sum() - shard * 512) and (counts >= 0).all() and (before + counts <= totals).all() and before.sum() == shard * 512
+    middle, before = mx.shard_counts(totals, shards, shards // 2, 512, 3)
+    assert abs(middle[0] - 307) < 80 and abs(before[0] / before.sum() - 0.6) < 1e-3
+
+
+def test_default_total_meets_all_shares():
+    available, shares, repeats = np.array([1000, 10, 0, 500]), np.array([0.5, 0.2, 0.1, 0.2]), np.array([1, 3, 5, 2])
+    total = mx.natural_total(available, shares, repeats)
+    given_ = mx.allocate(available, shares, repeats, total)
+    assert total == 135 and np.allclose(given_ / given_.sum(), shares * np.array([1, 1, 0, 1]) / 0.9, atol=1e-2)
