@@ -143,6 +143,10 @@ class Inventory:
         """Times each trigram occurs in some texts."""
         return times(self.three, np.concatenate([np.zeros(0, np.int64), *texts]))
 
+    def shared(self) -> np.ndarray:
+        """The lowest distribution: how many different words each word follows in all texts, plus one."""
+        return (self.cont1 + 1) / (self.cont1 + 1).sum()
+
     def words(self, n: np.ndarray) -> np.ndarray:
         """Times each word occurs as the last of some trigrams."""
         return np.bincount(self.two_last[self.three_suf], n, len(self.cont1))
