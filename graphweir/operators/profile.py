@@ -8,6 +8,7 @@ another is a left anti join of distinct values.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,10 @@ NUMERIC = ("int", "real", "float", "double", "number", "decimal", "numeric")
 TEXT = ("text", "char", "varchar", "string")
 TEMPORAL = ("date", "time", "timestamp", "datetime")
 #: Name patterns of key columns with their points; the first match counts (fixed values).
-KEY_NAMES = ((r"^id$", 15), (r"^{table}_?id$", 15), (r"_id$", 10), (r"^pk_", 10), (r"_key$", 10), (r"key$", 8), (r"_no$|_num$|_number$", 5), (r"code$", 5))
+KEY_NAMES = (
+    (r"^id$", 15), (r"^{table}_id$", 15), (r"^{table}_key$", 15), (r"^pk_", 15), (r"^key$", 10), (r"^code$", 8), (r"^uuid$", 15), (r"^guid$", 15), (r"^serial$", 15), (r"^seq", 10), (r"id$", 5),
+    (r"uuid$", 10), (r"code$", 5), (r"num$", 5), (r"no$", 5), (r"^record", 8), (r"^pid$", 15), (r"^mid$", 15), (r"^uid$", 15), (r"^eid$", 15), (r"^[a-z]+id$", 10), (r"^[a-z]+_id$", 10),
+)
 COMMON_LIMIT, COMMON_MOST = 100, 5
 
 
@@ -119,7 +123,8 @@ def key_scores(stats: DataFrame, sequences: DataFrame | None = None, least: int
     name = F.lower("column_name")
     by_name = F.lit(0)
     for pattern, points in reversed(KEY_NAMES):
-        hit = name.rlike(pattern) if "{table}" not in pattern else (F.regexp_replace(name, "_?id$", "") == F.regexp_replace(F.lower("table_name"), "s$", "")) & name.endswith("id")
+        named = re.match(r"\^\{table\}(\w+)\$$", pattern)
+        hit = name == F.concat(F.lower("table_name"), F.lit(named[1])) if named else name.rlike(pattern)
         by_name = F.when(hit, F.lit(points)).otherwise(by_name)
     points = F.when(u == 1, 30).when(u > 0.98, 20).otherwise(0) + F.when(F.col("null_count") == 0, 20).otherwise(0) + F.when(F.col("type_class") == "numeric", 15).when(F.col("type_class") == "text", 5).otherwise(0) + by_name
     rows = stats.where("row_count > 0")
@@ -131,19 +136,20 @@ def key_scores(stats: DataFrame, sequences: DataFrame | None = None, least: int
     return fit.withColumn("chosen", F.col("points") >= near * F.max("points").over(w))
 
 
-def foreign_by_name(columns: DataFrame, keys: DataFrame) -> DataFrame:
+def foreign_by_name(columns: DataFrame, keys: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Foreign keys suggested by names: (table, column) whose name is the key's, or the key table's name with id or key.
 
-    Columns meet keys on derived names by equality, not by a product of tables.
+    Columns meet keys on derived names by equality, within the ``scope`` columns, not by a product of tables.
     """
     low = F.lower("column_name")
     t = F.lower("table_name")
     single = F.regexp_replace(t, "s$", "")
-    k = keys.select(F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), F.col("type_class").alias("ref_class"), F.explode(F.array_distinct(F.array(low, F.concat(t, F.lit("_"), low), F.concat(single, F.lit("_"), low), F.concat(t, F.lit("id")), F.concat(single, F.lit("id")), F.concat(F.lit("fk_"), t), F.concat(F.lit("fk_"), single)))).alias("wanted"))
+    derived = F.array(low, F.concat(t, F.lit("_"), low), F.concat(single, F.lit("_"), low), F.concat(t, F.lit("id")), F.concat(single, F.lit("id")), F.concat(F.lit("fk_"), t), F.concat(F.lit("fk_"), single))
+    k = keys.select(*scope, F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), F.col("type_class").alias("ref_class"), F.explode(F.array_distinct(derived)).alias("wanted"))
     k = k.where(~F.col("wanted").isin("id", "key", "code", "name"))
-    c = columns.select("table_name", "column_name", "type_class", low.alias("wanted"))
-    rows = c.join(k, "wanted").where(F.col("table_name") != F.col("ref_table"))
-    return rows.select("table_name", "column_name", "ref_table", "ref_column", F.when(F.col("type_class") == F.col("ref_class"), F.lit("medium")).otherwise(F.lit("low")).alias("confidence")).distinct()
+    c = columns.select(*scope, "table_name", "column_name", "type_class", low.alias("wanted"))
+    rows = c.join(k, [*scope, "wanted"]).where(F.col("table_name") != F.col("ref_table"))
+    return rows.select(*scope, "table_name", "column_name", "ref_table", "ref_column", F.when(F.col("type_class") == F.col("ref_class"), F.lit("medium")).otherwise(F.lit("low")).alias("confidence")).distinct()
 
 
 def inclusion(source: DataFrame, column: str, reference: DataFrame, ref_column: str) -> DataFrame:
@@ -159,27 +165,29 @@ def inclusion(source: DataFrame, column: str, reference: DataFrame, ref_column:
     return sums.select("orphans", F.round(coverage, 6).alias("coverage"), F.when((F.col("orphans") == 0) & (coverage > 0.3), "high").when((F.col("orphans") == 0) & (coverage > 0.01), "medium").alias("confidence"))
 
 
-#: Classes of table names: label, pattern, base group (fixed values; the first match counts).
+#: Classes of table names in upper case: label, pattern, base group (fixed values; the first match counts).
 NAME_CLASSES = (
-    ("YEARLY", r"^(.*)_(19|20)\d{2}$"),
-    ("YEARLY_SUFFIX", r"^(.*[a-z])(19|20)\d{2}$"),
-    ("DATE_STREAMING", r"^(.*)_(19|20)\d{2}_?\d{2}_?\d{2}$"),
-    ("QUARTERLY", r"^(.*)_(?:(?:19|20)\d{2}_?)?q[1-4]$"),
-    ("MONTHLY", r"^(.*)_(19|20)\d{2}_?\d{2}$"),
-    ("RELEASE_VERSIONED", r"^(.*)_r\d+$"),
-    ("VERSIONED", r"^(.*)_v\d+(?:_\d+)*$"),
-    ("NUMERIC_SUFFIX", r"^(.*)_\d+$"),
-    ("SEQUENTIAL", r"^(.*[a-z])\d+$"),
-    ("ARCHIVE", r"^(.*)_(?:old|archive|bak|backup|hist|history)$"),
+    ("YEARLY", r"^(.+?)(?:19\d{2}|20\d{2}|2100)$"),
+    ("YEARLY_SUFFIX", r"^(.+?)_(?:19\d{2}|20\d{2}|2100)_.+$"),
+    ("DATE_STREAMING", r"^(.+)_\d{8}$"),
+    ("DATE_STREAMING", r"^(.+)_\d{4}_\d{2}_\d{2}$"),
+    ("QUARTERLY", r"^(.+)_Q[1-4]_\d{4}$"),
+    ("QUARTERLY", r"^(_)(?:19\d{2}|20\d{2}|2100)_Q[1-4]$"),
+    ("MONTHLY", r"^(.+)_(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)_?\d{4}$"),
+    ("NUMERIC_SUFFIX", r"^([A-Z]+[A-Z])\d{2,4}$"),
+    ("SEQUENTIAL", r"^(.+)_\d{3,}$"),
+    ("RELEASE_VERSIONED", r"^([A-Z]+)\d{2,3}_.+$"),
+    ("VERSIONED", r"^(.+)_(?:V\d+|VER_\d+|VERSION_\d+)$"),
+    ("ARCHIVE", r"^(.*)_(?:ARCHIVE|BACKUP|BAK|HIST|HISTORICAL)$"),
 )
 
 
 def name_class(name: Column) -> Column:
-    """The pattern class of a table name and its base: struct<class, base>."""
-    low = F.lower(name)
-    found = F.struct(F.lit("STANDALONE").alias("class"), low.alias("base"))
+    """The pattern class of a table name, read in upper case, and its base: struct<class, base>."""
+    up = F.upper(name)
+    found = F.struct(F.lit("STANDALONE").alias("class"), up.alias("base"))
     for label, pattern in reversed(NAME_CLASSES):
-        found = F.when(low.rlike(pattern), F.struct(F.lit(label).alias("class"), F.regexp_extract(low, pattern, 1).alias("base"))).otherwise(found)
+        found = F.when(up.rlike(pattern), F.struct(F.lit(label).alias("class"), F.regexp_extract(up, pattern, 1).alias("base"))).otherwise(found)
     return found
 
 

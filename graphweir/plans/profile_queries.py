@@ -67,13 +67,8 @@ def profile_inclusion(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_foreign_names(spark: SparkSession, d: str) -> DataFrame:
     """Foreign keys suggested by the names of profiled schemas."""
-    c = load(spark, d, "schema_columns").select(F.concat_ws("/", "db_id", F.lower("table_name")).alias("table_name"), F.lower("name").alias("column_name"), pf.type_class(F.col("type")).alias("type_class"), "is_primary_key").distinct()
-    short = F.regexp_extract("table_name", "([^/]*)$", 1)
-    keys = c.where("is_primary_key").select(F.concat_ws("/", F.split("table_name", "/")[0]).alias("db"), short.alias("table_name"), "column_name", "type_class")
-    cols = c.select(F.split("table_name", "/")[0].alias("db"), short.alias("table_name"), "column_name", "type_class")
-    k = keys.select("db", F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"), F.col("type_class").alias("ref_class"), F.col("column_name").alias("wanted"))
-    rows = cols.withColumn("wanted", F.col("column_name")).join(k, ["db", "wanted"]).where("table_name != ref_table and wanted not in ('id', 'key', 'code', 'name')")
-    return rows.select("db", "table_name", "column_name", "ref_table", F.when(F.col("type_class") == F.col("ref_class"), "medium").otherwise("low").alias("confidence")).distinct()
+    c = load(spark, d, "schema_columns").select("db_id", F.lower("table_name").alias("table_name"), F.lower("name").alias("column_name"), pf.type_class(F.col("type")).alias("type_class"), "is_primary_key").distinct()
+    return pf.foreign_by_name(c, c.where("is_primary_key"), ("db_id",))
 
 
 def profile_name_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +108,21 @@ def _stat_sql(t: str, c: str, k: str) -> str:
 
 _STATS = "\nUNION ALL ".join(_stat_sql(t, c, k) for t, cols in COLUMNS.items() for c, k in cols)
 _SEQ = "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, max({c}) - min({c}) + 1 = count(DISTINCT {c}) AS gapless, min({c}) IN (0, 1) AND max({c}) = count(*) AS auto_increment FROM {t}" for t, cols in SEQUENCES.items() for c in cols)
-_NAME_POINTS = " ".join(
-    f"WHEN regexp_matches(lower(column_name), '{p}') THEN {n}" if "{table}" not in p else f"WHEN regexp_replace(lower(column_name), '_?id$', '') = regexp_replace(lower(table_name), 's$', '') AND lower(column_name) LIKE '%id' THEN {n}" for p, n in pf.KEY_NAMES
-)
-_CASE = " ".join(f"WHEN regexp_matches(lower(table_name), '{p}') THEN '{n}'" for n, p in pf.NAME_CLASSES)
-_BASE = " ".join(f"WHEN regexp_matches(lower(table_name), '{p}') THEN regexp_extract(lower(table_name), '{p}', 1)" for _, p in pf.NAME_CLASSES)
-_TYPE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(type), '{w}')" for w in words) + f" THEN '{n}'" for n, words in (("temporal", pf.TEMPORAL), ("numeric", pf.NUMERIC), ("text", pf.TEXT))) + " ELSE 'other' END"
+# written apart from the operator's tables, so that a wrong pattern on either side shows
+_NAME_POINTS = r"""
+  WHEN lower(column_name) = 'id' THEN 15 WHEN lower(column_name) IN (lower(table_name) || '_id', lower(table_name) || '_key') THEN 15 WHEN lower(column_name) LIKE 'pk\_%' ESCAPE '\' THEN 15
+  WHEN lower(column_name) = 'key' THEN 10 WHEN lower(column_name) = 'code' THEN 8 WHEN lower(column_name) IN ('uuid', 'guid', 'serial') THEN 15 WHEN lower(column_name) LIKE 'seq%' THEN 10
+  WHEN lower(column_name) LIKE '%id' THEN 5 WHEN lower(column_name) LIKE '%code' OR lower(column_name) LIKE '%num' OR lower(column_name) LIKE '%no' THEN 5 WHEN lower(column_name) LIKE 'record%' THEN 8"""
+_UP = "upper(table_name)"
+_YEAR = "(19[0-9][0-9]|20[0-9][0-9]|2100)"
+_RULES = [
+    ("YEARLY", f"^(.+?){_YEAR}$"), ("YEARLY_SUFFIX", f"^(.+?)_{_YEAR}_.+$"), ("DATE_STREAMING", "^(.+)_[0-9]{8}$"), ("DATE_STREAMING", "^(.+)_[0-9]{4}_[0-9]{2}_[0-9]{2}$"), ("QUARTERLY", "^(.+)_Q[1-4]_[0-9]{4}$"), ("QUARTERLY", f"^(_){_YEAR}_Q[1-4]$"),
+    ("MONTHLY", "^(.+)_(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)_?[0-9]{4}$"), ("NUMERIC_SUFFIX", "^([A-Z][A-Z]+)[0-9]{2,4}$"), ("SEQUENTIAL", "^(.+)_[0-9]{3,}$"), ("RELEASE_VERSIONED", "^([A-Z]+)[0-9]{2,3}_.+$"),
+    ("VERSIONED", "^(.+)_(V[0-9]+|VER_[0-9]+|VERSION_[0-9]+)$"), ("ARCHIVE", "^(.*)_(ARCHIVE|BACKUP|BAK|HIST|HISTORICAL)$"),
+]
+_CASE = " ".join(f"WHEN regexp_matches({_UP}, '{p}') THEN '{n}'" for n, p in _RULES)
+_BASE = " ".join(f"WHEN regexp_matches({_UP}, '{p}') THEN regexp_extract({_UP}, '{p}', 1)" for _, p in _RULES)
+_TYPE = "CASE WHEN regexp_matches(lower(type), 'date|time') THEN 'temporal' WHEN regexp_matches(lower(type), 'int|real|float|double|number|decimal|numeric') THEN 'numeric' WHEN regexp_matches(lower(type), 'text|char|string') THEN 'text' ELSE 'other' END"
 _INCLUSION = "\nUNION ALL ".join(
     f"""SELECT '{a}.{ac}' AS source, '{b}.{bc}' AS reference, orphans, round(coverage, 6) AS coverage, CASE WHEN orphans = 0 AND coverage > 0.3 THEN 'high' WHEN orphans = 0 AND coverage > 0.01 THEN 'medium' END AS confidence
 FROM (SELECT (SELECT count(DISTINCT {ac}) FROM {a} WHERE {ac} NOT IN (SELECT {bc} FROM {b} WHERE {bc} IS NOT NULL)) AS orphans,
@@ -142,14 +146,15 @@ p AS (SELECT table_name, column_name, (CASE WHEN u = 1 THEN 30 WHEN u > 0.98 THE
 SELECT table_name, column_name, points, points >= 0.8 * max(points) OVER (PARTITION BY table_name) AS chosen FROM p WHERE points >= 25""",
     "profile_inclusion": _INCLUSION,
     "profile_foreign_names": f"""
-WITH c AS (SELECT DISTINCT db_id AS db, lower(table_name) AS t, lower(name) AS c, {_TYPE} AS k, is_primary_key FROM schema_columns),
-p AS (SELECT DISTINCT db, t, c, k FROM c WHERE is_primary_key)
-SELECT DISTINCT c.db, c.t AS table_name, c.c AS column_name, p.t AS ref_table, CASE WHEN c.k = p.k THEN 'medium' ELSE 'low' END AS confidence
-FROM c JOIN p ON c.db = p.db AND c.c = p.c WHERE c.t <> p.t AND c.c NOT IN ('id', 'key', 'code', 'name')""",
-    "profile_name_classes": f"SELECT DISTINCT db_id, table_name, CASE {_CASE} ELSE 'STANDALONE' END AS class, CASE {_BASE} ELSE lower(table_name) END AS base FROM schema_tables",
+WITH c AS (SELECT DISTINCT db_id, lower(table_name) AS t, lower(name) AS c, {_TYPE} AS k, is_primary_key FROM schema_columns),
+p AS (SELECT DISTINCT db_id, t, c, k, regexp_replace(t, 's$', '') AS o FROM c WHERE is_primary_key),
+w AS (SELECT db_id, t, c, k, unnest([c, t || '_' || c, o || '_' || c, t || 'id', o || 'id', 'fk_' || t, 'fk_' || o]) AS wanted FROM p)
+SELECT DISTINCT c.db_id, c.t AS table_name, c.c AS column_name, w.t AS ref_table, w.c AS ref_column, CASE WHEN c.k = w.k THEN 'medium' ELSE 'low' END AS confidence
+FROM c JOIN w ON c.db_id = w.db_id AND c.c = w.wanted WHERE c.t <> w.t AND wanted NOT IN ('id', 'key', 'code', 'name')""",
+    "profile_name_classes": f"SELECT DISTINCT db_id, table_name, CASE {_CASE} ELSE 'STANDALONE' END AS class, CASE {_BASE} ELSE upper(table_name) END AS base FROM schema_tables",
     "profile_representatives": f"""
 WITH t AS (SELECT db_id, lower(table_name) AS table_name, count(DISTINCT lower(name)) AS columns FROM schema_columns GROUP BY ALL),
-y AS (SELECT *, regexp_extract(table_name, '(19|20)\\d{{2}}') AS y, CASE {_CASE} ELSE 'STANDALONE' END AS class, CASE {_BASE} ELSE table_name END AS base FROM t),
+y AS (SELECT *, regexp_extract(table_name, '(19|20)\\d{{2}}') AS y, CASE {_CASE} ELSE 'STANDALONE' END AS class, CASE {_BASE} ELSE upper(table_name) END AS base FROM t),
 p AS (SELECT *, columns * 1000 + CASE WHEN y >= '2015' AND y <= '2022' THEN 25 WHEN y >= '2010' AND y <= '2024' THEN 15 WHEN y >= '2000' THEN 10 ELSE 0 END AS points FROM y)
 SELECT db_id, class, base, count(*) AS members, first(table_name ORDER BY points DESC, table_name) AS representative, count(*) - 1 AS reduction FROM p GROUP BY ALL""",
     "profile_schema_totals": """
