@@ -18,14 +18,15 @@ def keys(table: DataFrame, key: str) -> DataFrame:
     return table.select(key)
 
 
-def get(table: DataFrame, key: str, value: str) -> DataFrame:
+def get(table: DataFrame, key: str, value: object) -> DataFrame:
     return table.where(F.col(key) == value)
 
 
-def get_many(table: DataFrame, key: str, requested: DataFrame, order: str, fields: list[str]) -> DataFrame:
-    """A row per request in its order, null fields for misses."""
+def get_many(table: DataFrame, key: str, requested: DataFrame, asked: str, order: list[str], fields: list[str]) -> DataFrame:
+    """A row per request, null fields for misses. ``order`` are columns that place a request and stay in its row: rows of a
+    table have no other order, and who shows them sorts by it."""
     stored = table.select(F.col(key).alias("__key"), *fields)
-    return requested.join(stored, requested[key] == F.col("__key"), "left").drop("__key").orderBy(order)
+    return requested.join(stored, requested[asked] == F.col("__key"), "left").drop("__key").select(asked, *order, *fields)
 
 
 def new_keys(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:

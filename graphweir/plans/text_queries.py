@@ -90,7 +90,7 @@ def kv_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Documents named by answers, in the order they are asked for; misses stay."""
     asked = load(spark, d, "query_solution").select("query_id", F.posexplode("docs").alias("pos", "doc")).distinct()
     docs = load(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc"), "source", "n_chars")
-    return kv.get_many(docs, "doc", asked, "query_id", ["source", "n_chars"])
+    return kv.get_many(docs, "doc", asked, "doc", ["query_id", "pos"], ["source", "n_chars"])
 
 
 def _stored_and_batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -61,12 +61,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     pruning, which a checkpointed RDD does not.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = remembered(spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def remembered(spark: SparkSession, path: str) -> str:
+    """A path in the shared folder, to be removed when this process ends."""
     if not _WRITTEN:
         atexit.register(_drop_written, spark)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    return path
 
 
 _WRITTEN: list[str] = []

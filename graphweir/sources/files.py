@@ -18,14 +18,16 @@ QUESTION = "question STRING, answer STRING, gold_ans STRING, reference STRING, a
 OPENIE = "docs ARRAY<STRUCT<idx: STRING, passage: STRING, extracted_entities: ARRAY<STRING>, extracted_triples: ARRAY<ARRAY<STRING>>>>, avg_ent_chars DOUBLE, avg_ent_words DOUBLE"
 SQUALITY = "document STRING, questions ARRAY<STRUCT<question_text: STRING, responses: ARRAY<STRUCT<response_text: STRING>>>>, metadata STRUCT<passage_id: STRING>"
 INSTANCE = "instance_id STRING, db STRING, question STRING, external_knowledge STRING"
+#: A list of name patterns is a setting; a longer one is refused.
+MOST_PATTERNS = 10_000
 TABLE_EXPORT = "table_name STRING, table_fullname STRING, column_names ARRAY<STRING>, column_types ARRAY<STRING>, sample_rows ARRAY<STRING>"
 
 
-def json_kv(spark: SparkSession, path: str, value: str = "STRING") -> DataFrame:
-    """A JSON object file as (id, value); a missing file is an empty table."""
+def json_kv(spark: SparkSession, path: str, value: str = "STRING", lines: bool = False) -> DataFrame:
+    """A JSON object file (with ``lines``, an object a line) as (id, value); a missing file is an empty table."""
     if not _exists(spark, path):
         return spark.createDataFrame([], f"id STRING, value {value}")
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"MAP<STRING, {value}>").alias("m"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"MAP<STRING, {value}>").alias("m"))
     return raw.select(F.explode("m").alias("id", "value"))
 
 
@@ -67,20 +69,20 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     n.unionByName(e).unionByName(ends).orderBy("part", "key").select("line").write.mode("overwrite").text(path)
 
 
-def corpus(spark: SparkSession, path: str) -> DataFrame:
+def corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A multi-hop corpus (JSON array or lines of title, text): title, text, content."""
-    rows = spark.read.schema("title STRING, text STRING").option("multiLine", True).json(path)
+    rows = spark.read.schema("title STRING, text STRING").option("multiLine", not lines).json(path)
     return rows.withColumn("content", F.concat_ws("\n", "title", "text"))
 
 
-def questions(spark: SparkSession, path: str, joiner: str = " ") -> DataFrame:
+def questions(spark: SparkSession, path: str, joiner: str = " ", lines: bool = False) -> DataFrame:
     """Multi-hop questions with gold answers and gold documents from three shapes.
 
     Golds come from answer, gold_ans or reference, and aliases. Gold documents
     come from supporting facts over contexts (sentences joined by ``joiner``),
     else from supporting contexts, else from supporting paragraphs.
     """
-    q = spark.read.schema(QUESTION).option("multiLine", True).json(path)
+    q = spark.read.schema(QUESTION).option("multiLine", not lines).json(path)
     named = F.transform("supporting_facts", lambda f: f[0])
     shape_a = F.transform(F.filter("context", lambda c: F.array_contains(named, c["title"])), lambda c: F.concat(c["title"], F.lit("\n"), F.array_join(c["sentences"], joiner)))
     shape_b = F.transform(F.filter("contexts", lambda c: c["is_supporting"]), lambda c: F.concat(c["title"], F.lit("\n"), c["text"]))
@@ -104,9 +106,9 @@ def instances(spark: SparkSession, path: str, ids: list[str] | None = None, db:
     return rows if db is None else rows.where(F.col("db") == db)
 
 
-def openie(spark: SparkSession, path: str) -> DataFrame:
+def openie(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Extraction results: passage, entities, triples; ``done`` if there is any entity or triple."""
-    docs = spark.read.schema(OPENIE).option("multiLine", True).json(path).select(F.explode("docs").alias("d"))
+    docs = spark.read.schema(OPENIE).option("multiLine", not lines).json(path).select(F.explode("docs").alias("d"))
     return docs.select(F.col("d.passage").alias("passage"), F.coalesce("d.extracted_entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("d.extracted_triples", F.array().cast("array<array<string>>")).alias("triples")).withColumn("done", (F.size("entities") > 0) | (F.size("triples") > 0))
 
 
@@ -116,9 +118,9 @@ def openie_averages(extracted: DataFrame) -> DataFrame:
     return e.agg(F.round(F.avg(F.length("e")), 4).alias("avg_ent_chars"), F.round(F.avg(F.size(F.split(F.trim("e"), r"\s+"))), 4).alias("avg_ent_words"))
 
 
-def table_exports(spark: SparkSession, path: str) -> DataFrame:
+def table_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A directory of table JSONs (schema folders or flat) as columns: schema_name, table_name, column_name, type, at."""
-    rows = spark.read.schema(TABLE_EXPORT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(TABLE_EXPORT).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
     base = os.path.basename(path.rstrip("/"))
     pairs = F.posexplode(F.arrays_zip("column_names", "column_types")).alias("at", "c")
@@ -137,8 +139,10 @@ def ddl_csv(spark: SparkSession, paths: list[str], metadata: DataFrame | None =
 
 def expand_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """Names matched by patterns: a glob, or a bare prefix that means itself and ``prefix_*``."""
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     p = patterns.select("pattern", F.when(F.contains("pattern", F.lit("*")), F.concat(F.lit("^"), F.replace(F.replace("pattern", F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))).otherwise(F.concat(F.lit("^"), F.col("pattern"), F.lit("(_.*)?$"))).alias("r"))
-    return names.join(F.broadcast(p.limit(10_000)), F.expr("name rlike r")).select("name", "pattern").distinct()  # patterns are settings
+    return names.join(F.broadcast(p), F.expr("name rlike r")).select("name", "pattern").distinct()  # at most MOST_PATTERNS rows
 
 
 def custom_graph(spark: SparkSession, kg: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,12 +163,12 @@ def custom_graph(spark: SparkSession, kg: dict) -> tuple[DataFrame, DataFrame, D
     return chunks.select("chunk_id", "content"), nodes.unionByName(stubs), edges
 
 
-def summary_columns(spark: SparkSession, path: str) -> DataFrame:
+def summary_columns(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Columns of profile summaries (JSON): table_name, column_name, type, is_primary_key, references_table, references_column, samples.
 
     Samples may be a map of lists or a list of rows; both come out per column.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "tables MAP<STRING, STRUCT<columns: ARRAY<STRUCT<name: STRING, type: STRING, is_primary_key: BOOLEAN, is_foreign_key: BOOLEAN, references_table: STRING, references_column: STRING>>, samples: STRING>>").alias("s"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "tables MAP<STRING, STRUCT<columns: ARRAY<STRUCT<name: STRING, type: STRING, is_primary_key: BOOLEAN, is_foreign_key: BOOLEAN, references_table: STRING, references_column: STRING>>, samples: STRING>>").alias("s"))
     tables = raw.select(F.explode("s.tables").alias("table_name", "t"))
     columns = tables.select("table_name", F.explode("t.columns").alias("c"), F.col("t.samples").alias("samples"))
     by_map = F.from_json("samples", "MAP<STRING, ARRAY<STRING>>")
@@ -192,7 +196,11 @@ def summary_path(db: str, folders: list[str]) -> str | None:
 def chat_template(path: str, program: str) -> list[dict[str, str]]:
     """A few-shot template as chat messages (driver-side configuration)."""
     with open(path, encoding="utf-8") as f:
-        body = json.load(f)[program]
+        return template_messages(json.load(f)[program])
+
+
+def template_messages(body: dict) -> list[dict[str, str]]:
+    """A template (system, demos) as messages of the system, and of user and assistant for each demonstration."""
     messages = [{"role": "system", "content": body.get("system", "")}]
     for demo in body.get("demos", []):
         messages.append({"role": "user", "content": f"[[ ## question ## ]]\n{demo['question']}\n\n[[ ## fact_before_filter ## ]]\n{demo['fact_before_filter']}"})

@@ -3,9 +3,9 @@
 import pytest
 from conftest import same
 
-from graphweir.plans import core_queries, eval_queries, graph_queries, profile_queries, retrieval_queries, text_queries, vector_queries
+from graphweir.plans import core_queries, eval_queries, graph_queries, library_queries, profile_queries, retrieval_queries, text_queries, vector_queries
 
-MODULES = (core_queries, graph_queries, retrieval_queries, vector_queries, text_queries, eval_queries, profile_queries)
+MODULES = (core_queries, graph_queries, retrieval_queries, vector_queries, text_queries, eval_queries, profile_queries, library_queries)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLES = {n: q for m in MODULES for n, q in m.ORACLES.items()}
 
