@@ -23,7 +23,7 @@ from graphweir.session import written
 
 DISCOUNT = 0.75
 #: Occurrences a text from which an n-gram that no given text holds is in the models.
-LEAST_SHARE = 5e-5
+LEAST_SHARE = 1e-4
 
 
 class WordIds(dict):
@@ -327,4 +327,9 @@ def take_inventory(texts: DataFrame, kept: pa.Table, documents: int) -> Inventor
     index1, index2, index3 = Index(column(one, "id")), Index(column(two, "key")), Index(column(three, "key"))
     places = [index1.find(column(two, "mid")), index1.find(column(two, "last")), index2.find(column(three, "ctx")), index2.find(column(three, "suf"))]
     places = [np.maximum(p, 0) for p in places]  # a mark is the last word of no bigram but that of two marks
-    return Inventory(index1, index2, index3, *places, column(three, "n").astype(np.float64), column(two, "tot"), column(two, "cont"), column(one, "tot"), column(one, "cont"), column(one, "n"), types)
+    arrays = [np.array(x, np.float64) for x in (column(three, "n"), column(two, "tot"), column(two, "cont"), column(one, "tot"), column(one, "cont"), column(one, "n"))]
+    for index in (index1, index2, index3):
+        index.keys = np.array(index.keys)  # a copy, so that nothing holds the tables
+    del one, two, three
+    pa.default_memory_pool().release_unused()
+    return Inventory(index1, index2, index3, *places, *arrays, types)
