@@ -2,23 +2,27 @@
 
 Each of L trees gives every vector a 64-bit hash string, the signs of random
 projections (orthogonal within a tree). A tree is the array of its strings in
-sorted order: the vectors that share the longest prefix with a string are its
-neighbours in the array, so descending to the variable-length longest prefix
-is the place of the string itself, and ascending to shorter prefixes widens
-the window around it. All trees ascend in step: each gives the same share of
-candidates, the ``reach`` nearest places on either side, whatever prefix
-length that takes; dense regions are so met at long prefixes and sparse ones
-at short prefixes. Candidates are scored exactly where they meet, by block
-products over the sorted array; only the k best of a tree leave the task.
+sorted order, so that the strings which share a prefix are a run of it.
+
+A vector descends all trees to its longest prefix matches and ascends them in
+step, one prefix length at a time, until at least ``WANTED`` entries of all
+trees together share that many bits with it: in dense regions and in trees that
+part a vector's neighbours late it takes few bits, elsewhere more. The length is
+told by a forest of a bounded sample (``SAMPLE`` vectors, the same trees, broadcast),
+whose counts are scaled to the number of all vectors; for fewer vectors than
+that it is exact. In each full array the run of that prefix, but no more than
+``REACH`` places on either side, are the candidates. They are scored exactly
+where they meet, by block products over the sorted array; only the best of a
+tree leave the task.
 
 Arrays are cut by range over (tree, hash), never by a fixed bucket, so no
 bucket can be hot, and no pair of rows but those in reach is ever formed.
 Equal vectors enter the forest once; a class of equal vectors keeps its k+1
 smallest ids, which are all that any vector can have among its k best.
 
-The loss: a neighbour out of reach in all L trees is missed, and windows end
-at the edge of a range partition. ``tests/llm`` measures recall against brute
-force; the README gives figures.
+The loss: a neighbour that shares too short a prefix in all L trees, or stands
+beyond reach in all, is missed, and runs end at the edge of a range partition.
+``tests/llm`` measures recall against brute force; the README gives figures.
 
 Defined results
 ---------------
@@ -45,7 +49,12 @@ from graphweir.session import written
 DIMS = 96
 TREES = 16
 BITS = 64
-REACH = 384
+#: Entries of all trees together that must share a prefix with a vector, before it ascends no further.
+WANTED = 8_000
+#: Places on either side in one tree at most.
+REACH = 1_024
+#: Vectors of the forest that tells prefix lengths.
+SAMPLE = 16_384
 SEED = 20240501
 #: Copies of the result of a class of equal vectors, so that a class with very
 #: many members is joined in as many parts.
@@ -86,25 +95,55 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def _plant(dims: int, trees: int):
-    """Maps a vector to one row per tree: tree, hash, id, members, unit vector."""
+def codes_of(unit: np.ndarray, directions: np.ndarray, trees: int) -> np.ndarray:
+    """The hash strings of unit vectors, as numbers, one column a tree."""
+    weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
+    signs = (unit.astype(np.float32) @ directions) > 0
+    return (signs.reshape(len(unit), trees, BITS) * weights).sum(axis=2, dtype=np.uint64)
+
+
+def run_of(codes: np.ndarray, array: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end place of the entries of a sorted array that share so many first bits with each string."""
+    rest = np.where(bits > 0, np.uint64(BITS) - bits.astype(np.uint64), np.uint64(0))
+    rest = np.minimum(rest, np.uint64(BITS - 1))
+    low = (codes >> rest) << rest
+    high = low | ((np.uint64(1) << rest) - np.uint64(1))
+    first, end = np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
+    return np.where(bits > 0, first, 0), np.where(bits > 0, end, len(array))
+
+
+def prefix_lengths(codes: np.ndarray, sample: np.ndarray, wanted: float) -> np.ndarray:
+    """For each vector the longest prefix that at least ``wanted`` entries of all sorted sample arrays together share with it."""
+    low, high = np.zeros(len(codes), np.int64), np.full(len(codes), BITS)
+    while (low < high).any():  # the count falls as prefixes grow
+        middle = (low + high + 1) // 2
+        total = np.zeros(len(codes), np.int64)
+        for t in range(codes.shape[1]):
+            first, end = run_of(codes[:, t], sample[t], middle)
+            total += end - first
+        enough = total >= wanted
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+    return low
+
+
+def _plant(dims: int, trees: int, shared, wanted: float):
+    """Maps a vector to one row per tree: tree, hash, bits, id, members, unit vector; ``shared`` are the sorted sample arrays."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = planes(dims, trees)
-        weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 part = batch.slice(first, 2000)
                 unit = _unit(part.column(1), dims)
                 n = len(unit)
-                signs = (unit.astype(np.float32) @ directions) > 0
-                codes = (signs.reshape(n, trees, BITS) * weights).sum(axis=2, dtype=np.uint64)
+                codes = codes_of(unit, directions, trees)
+                bits = prefix_lengths(codes, shared.value, wanted)
                 ordered = (codes ^ np.uint64(1 << 63)).view(np.int64)  # signed order as of the bit strings
                 again = pa.array(np.tile(np.arange(n), trees))
                 stored = pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(ordered.T.ravel()), part.column(0).take(again), part.column(2).take(again), stored.take(again)],
-                    ["tree", "hash", "node", "members", "unit"],
+                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(ordered.T.ravel()), pa.array(np.tile(bits, trees).astype(np.int32)), part.column(0).take(again), part.column(2).take(again), stored.take(again)],
+                    ["tree", "hash", "bits", "node", "members", "unit"],
                 )
 
     return plant
@@ -113,61 +152,65 @@ def _plant(dims: int, trees: int):
 _FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("near", T.ArrayType(T.StructType([T.StructField("less", T.DoubleType()), T.StructField("id", T.LongType())])))])
 
 
-def _ascend(dims: int, k: int, reach: int, block: int = 512):
-    """Maps rows in (tree, hash) order to the k best within reach of each."""
-    spare = k + 4  # chosen in float32, then scored again in float64
+def _ascend(dims: int, k: int, reach: int, block: int = 256):
+    """Maps rows in (tree, hash) order to the best of each among the run of its prefix within reach."""
 
-    def score(tree: np.ndarray, node: np.ndarray, members: list[bytes], unit: np.ndarray, lo: int, hi: int) -> pa.RecordBatch | None:
+    def score(tree: np.ndarray, code: np.ndarray, bits: np.ndarray, node: np.ndarray, members: list[bytes], unit: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         """Results for rows lo..hi of a buffer whose other rows are their surroundings."""
-        q = hi - lo
-        products = unit[lo:hi] @ unit.T
-        products[tree[lo:hi, None] != tree[None, :]] = -2
-        products[np.arange(q), np.arange(lo, hi)] = -2
-        take = min(spare, len(unit))
-        best = np.argpartition(-products, take - 1, axis=1)[:, :take]
-        there = np.take_along_axis(products, best, 1) > -2
-        exact = np.zeros(best.shape)
-        for c in range(take):
-            exact[:, c] = (unit[lo:hi].astype(np.float64) * unit[best[:, c]].astype(np.float64)).sum(axis=1)
-        exact = np.round(exact, 6)
-        exact[~there] = -9
-        order = np.lexsort((node[best], -exact), axis=1)[:, :k]
-        best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-        offsets, less, ids = [0], [], []
-        for row in range(q):
-            for c in range(best.shape[1]):
-                if exact[row, c] < -2:
-                    break
-                own = np.frombuffer(members[best[row, c]], "<i8")
-                less += [-exact[row, c]] * len(own)
-                ids.append(own)
-            offsets.append(len(less))
-        flat = pa.StructArray.from_arrays([pa.array(less, pa.float64()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["less", "id"])
-        return pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), flat)], ["node", "near"])
+        while lo < hi:
+            end = lo + int(np.searchsorted(tree[lo:hi], tree[lo], "right"))  # the rows of one tree
+            first, last = np.searchsorted(tree, tree[lo], "left"), np.searchsorted(tree, tree[lo], "right")
+            starts, ends = run_of(code[lo:end], code[first:last], bits[lo:end])
+            own = np.arange(lo, end)
+            starts, ends = np.maximum(starts + first, own - reach), np.minimum(ends + first, own + reach + 1)
+            yield best(node, members, unit, lo, end, starts, ends)
+            lo = end
+
+    def best(node: np.ndarray, members: list[bytes], unit: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        q, a, z = hi - lo, int(starts.min()), int(ends.max())
+        products = unit[lo:hi] @ unit[a:z].T
+        at = np.arange(a, z)
+        products[(at < starts[:, None]) | (at >= ends[:, None])] = -2
+        products[np.arange(q), np.arange(lo, hi) - a] = -2
+        take = min(k, z - a)
+        kth = -np.partition(-products, take - 1, axis=1)[:, take - 1]
+        row, col = np.nonzero(products >= np.maximum(kth - 1e-6, -1.5)[:, None])  # all that may tie with the k-th
+        exact = np.round((unit[lo + row].astype(np.float64) * unit[a + col].astype(np.float64)).sum(axis=1), 6)
+        order = np.lexsort((node[a + col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        row, col, exact = row[rank < k], col[rank < k], exact[rank < k]
+        ids = [np.frombuffer(members[a + c], "<i8") for c in col.tolist()]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, sizes, q))]).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array(np.repeat(-exact, sizes)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], ["less", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "near"])
 
     def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, node, unit, members = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, dims), np.float32), []
+        tree, code, bits, node, unit, members = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims), np.float32), []
         done = 0  # rows at the head of the buffer that already have results
         for batch in batches:
             tree = np.concatenate([tree, batch.column(0).to_numpy()])
-            node = np.concatenate([node, batch.column(1).to_numpy()])
-            members += batch.column(2).to_pylist()
-            unit = np.concatenate([unit, np.frombuffer(b"".join(batch.column(3).to_pylist()), "<f4").reshape(-1, dims)])
+            code = np.concatenate([code, batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)])
+            bits = np.concatenate([bits, batch.column(2).to_numpy().astype(np.int64)])
+            node = np.concatenate([node, batch.column(3).to_numpy()])
+            members += batch.column(4).to_pylist()
+            unit = np.concatenate([unit, np.frombuffer(b"".join(batch.column(5).to_pylist()), "<f4").reshape(-1, dims)])
             while len(node) - done >= block + reach:
                 a, z = max(0, done - reach), done + block + reach
-                yield score(tree[a:z], node[a:z], members[a:z], unit[a:z], done - a, done - a + block)
+                yield from score(tree[a:z], code[a:z], bits[a:z], node[a:z], members[a:z], unit[a:z], done - a, done - a + block)
                 done += block
             drop = max(0, done - reach)
-            tree, node, members, unit, done = tree[drop:], node[drop:], members[drop:], unit[drop:], done - drop
+            tree, code, bits, node, members, unit, done = tree[drop:], code[drop:], bits[drop:], node[drop:], members[drop:], unit[drop:], done - drop
         while done < len(node):
             a, z = max(0, done - reach), min(len(node), done + block + reach)
-            yield score(tree[a:z], node[a:z], members[a:z], unit[a:z], done - a, min(done + block, len(node)) - a)
+            yield from score(tree[a:z], code[a:z], bits[a:z], node[a:z], members[a:z], unit[a:z], done - a, min(done + block, len(node)) - a)
             done += block
 
     return ascend
 
 
-def nearest(df: DataFrame, node: str, vector: str, at: str, k: int = 5, dims: int = DIMS, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def nearest(df: DataFrame, node: str, vector: str, at: str, k: int = 5, dims: int = DIMS, trees: int = TREES, reach: int = REACH, wanted: int = WANTED, sample: int = SAMPLE) -> DataFrame:
     """The k most similar other nodes of every usable node: ``node``, ``rank``, ``neighbour``, ``cosine``."""
     spark = df.sparkSession
     nodes = written(_valid(df, node, vector, at, dims), "vectors")
@@ -182,11 +225,18 @@ def nearest(df: DataFrame, node: str, vector: str, at: str, k: int = 5, dims: in
 
     distinct = nodes.select("node", "raw").join(classes.select("node", "ids"), "node").select("node", "raw", "ids")
     distinct = distinct.mapInArrow(members, "node bigint, raw binary, members binary")
-    forest = distinct.mapInArrow(_plant(dims, trees), "tree int, hash bigint, node bigint, members binary, unit binary")
-    size = nodes.count() * trees * (dims * 4 + 60)
+    n = nodes.count()
+    drawn = nodes.groupBy("h1", "h2").agg(F.min("node").alias("node")).orderBy(F.xxhash64("node"), "node").limit(sample).select("node")
+    some = nodes.select("node", "raw").join(F.broadcast(drawn), "node", "left_semi").select("raw").toArrow()  # at most ``sample`` vectors
+    raw = some.column("raw").combine_chunks() if some.num_rows else pa.array([], pa.binary())
+    codes = codes_of(_unit(raw, dims), planes(dims, trees), trees) if len(raw) else np.zeros((0, trees), np.uint64)
+    shared = spark.sparkContext.broadcast(np.sort(codes, axis=0).T.copy())  # of fixed size
+    scale = len(raw) / n if len(raw) == sample and n else 1.0
+    forest = distinct.mapInArrow(_plant(dims, trees, shared, wanted * scale), "tree int, hash bigint, bits int, node bigint, members binary, unit binary")
+    size = n * trees * (dims * 4 + 60)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (48 << 20)))
     arrays = forest.repartitionByRange(ranges, "tree", "hash").sortWithinPartitions("tree", "hash")
-    found = arrays.select("tree", "node", "members", "unit").mapInArrow(_ascend(dims, k, reach), _FOUND)
+    found = arrays.select("tree", "hash", "bits", "node", "members", "unit").mapInArrow(_ascend(dims, k, reach), _FOUND)
     near = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     # a class answers with its own members too; k + 1 entries serve every member, which then leaves itself out
