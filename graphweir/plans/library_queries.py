@@ -422,5 +422,5 @@ SELECT query_id, r.q AS question, 2 AS golds, len(list_distinct(list_filter(r.d,
 SELECT c.chunk_id, coalesce(n, 0)::INT AS entities, n IS NOT NULL AS done FROM (SELECT DISTINCT chunk_id FROM chunk_info WHERE chunk_id IS NOT NULL) c LEFT JOIN e ON c.chunk_id = e.source_id""",
     "file_exports": f"SELECT db_id, t AS table_name, n AS column_name, coalesce(k, 'TEXT') AS type, (row_number() OVER (PARTITION BY db_id, t ORDER BY n) - 1)::INT AS at FROM (SELECT db_id, lower(table_name) AS t, lower(name) AS n, min(type) AS k FROM {_COLUMN} GROUP BY ALL)",
     "file_summaries": f"SELECT db_id || '.' || lower(table_name) AS table_name, lower(name) AS column_name, min(type) AS type, coalesce(bool_or(is_primary_key), false) AS is_primary_key, (CASE WHEN length(db_id || '.' || lower(table_name)) % 2 = 0 THEN 2 ELSE 1 END)::INT AS samples FROM {_COLUMN} GROUP BY ALL",
-    "file_template": "SELECT * FROM (VALUES (0, 'system', 16), (1, 'user', 57), (2, 'assistant', 32), (3, 'user', 57), (4, 'assistant', 32)) t(place, role, size)",
+    "file_template": "SELECT * FROM (VALUES (0, 'system', 16), (1, 'user', 57), (2, 'assistant', 31), (3, 'user', 57), (4, 'assistant', 31)) t(place, role, size)",
 }
