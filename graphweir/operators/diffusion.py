@@ -81,7 +81,7 @@ def warm_start(edges: DataFrame, seeds: DataFrame, steps: int = 2) -> DataFrame:
 
 
 def diffuse(edges: DataFrame, sinks: DataFrame, mass: DataFrame, rounds: int, epsilon: float = 0.01, step: float = 0.2) -> DataFrame:
-    """Scores after a fixed number of rounds: query_id, source, node, x > 0.
+    """Scores after so many rounds, or fewer if no node holds more than its sink and epsilon: query_id, source, node, x > 0.
 
     ``edges`` come from :func:`query_edges`, ``sinks`` is (node, sink),
     ``mass`` (query_id, source, node, mass) the initial mass.
@@ -99,6 +99,8 @@ def diffuse(edges: DataFrame, sinks: DataFrame, mass: DataFrame, rounds: int, ep
         arrived = pushed.where("aware > 0").groupBy("query_id", "source", F.col("tgt").alias("node")).agg(F.sum(F.col("excess") * F.col("aware") / (F.col("q") + TINY)).alias("mass")).withColumn("x", F.lit(0.0))
         merged = kept.unionByName(arrived).groupBy("query_id", "source", "node").agg(F.sum("mass").alias("mass"), F.sum("x").alias("x"))
         state = checkpointed(merged.join(sinks, "node").select("query_id", "source", "node", "mass", "sink", "x"))
+        if state.where(F.col("mass") > F.col("sink") + epsilon).isEmpty():
+            break
     return state.where("x > 0").select("query_id", "source", "node", "x")
 
 

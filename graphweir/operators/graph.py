@@ -9,7 +9,7 @@ ends are no edges; self loops are dropped where stated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweir.session import checkpointed
@@ -129,8 +129,9 @@ def combine(synonym: DataFrame, passage: DataFrame, fact: DataFrame) -> DataFram
     return ranked.groupBy("src", "tgt").agg(F.max_by("weight", F.struct("p", "weight")).alias("weight"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, reset: DataFrame | None = None) -> DataFrame:
-    """Weighted PageRank after a fixed number of rounds: name, score.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, reset: DataFrame | None = None, tolerance: float | None = 1e-6) -> DataFrame:
+    """Weighted PageRank: name, score. Rounds end when the scores of all nodes together move by less than ``tolerance``
+    a node; if ``rounds`` do not suffice that is an error. Without a tolerance there are just so many rounds.
 
     ``reset`` (name, weight) personalises it: negative, NaN and null weights
     are 0, the rest is scaled to sum 1 (uniform if all are 0). Mass of nodes
@@ -151,17 +152,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     for number in range(rounds):
         given = ranks.join(steps, ranks["name"] == steps["src"]).groupBy("tgt").agg(F.sum(F.col("score") * F.col("share")).alias("given"))
         passed = given.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("passed"))
+        before = ranks
         ranks = base.join(given, base["name"] == given["tgt"], "left").join(F.broadcast(passed)).select("name", (damping * (F.coalesce("given", F.lit(0.0)) + (1 - F.col("passed")) * F.col("reset")) + (1 - damping) * F.col("reset")).alias("score"))
         if number % 3 == 2 or number == rounds - 1:
+            if tolerance is not None:
+                ranks = ranks.join(before.select("name", F.col("score").alias("before")), "name")
             ranks = checkpointed(ranks)
+            if tolerance is not None:
+                moved = ranks.agg(F.sum(F.abs(F.col("score") - F.col("before"))) < tolerance * F.count(F.lit(1))).first()[0]
+                ranks = ranks.select("name", "score")
+                if moved is None or moved:
+                    return ranks
+    if tolerance is not None and rounds:
+        raise RuntimeError(f"scores are not settled after {rounds} rounds")
     return ranks
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """The connected component of every node, named by its smallest member: name, component.
 
-    Min-label propagation with pointer jumping, until nothing changes. Labels
-    stay in the cluster; only the number of changes reaches the driver.
+    Min-label propagation with pointer jumping, until nothing changes; an error
+    if that takes more than ``rounds``, since labels would be incomplete. Labels
+    stay in the cluster; only whether any changed reaches the driver.
     """
     both = edges.where("src != tgt").select("src", "tgt").unionByName(edges.where("src != tgt").select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
     both = checkpointed(both)
@@ -174,8 +186,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         changed = after.where("old != component").limit(1).count()
         labels = after.select("name", "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,3 +202,23 @@ def stable_names(nodes: DataFrame, name: str) -> DataFrame:
     from graphweir.functions.text import strip, unescape
 
     return nodes.select(F.upper(strip(unescape(F.col(name)))).alias("name")).where("name != ''").distinct()
+
+
+def attributes(asked: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored attributes of nodes (name) or edges (src, tgt) asked for; unknown ones have none."""
+    return asked.select(*keys).distinct().join(table, keys, "left")
+
+
+def summary(nodes: DataFrame, edges: DataFrame, samples: int = 5) -> DataFrame:
+    """Per entity type: nodes, all nodes and edges of the graph beside them, and the first names (a sample is the feature)."""
+    kinds = nodes.select("name", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
+    first = kinds.withColumn("n", F.row_number().over(Window.partitionBy("entity_type").orderBy("name"))).where(F.col("n") <= samples).groupBy("entity_type").agg(F.array_sort(F.collect_list("name")).alias("samples"))
+    totals = nodes.agg(F.count(F.lit(1)).alias("all_nodes")).join(edges.agg(F.count(F.lit(1)).alias("all_edges")))  # one row each
+    return kinds.groupBy("entity_type").agg(F.count(F.lit(1)).alias("nodes")).join(first, "entity_type").join(F.broadcast(totals))
+
+
+def info(nodes: DataFrame, passages: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: entity and passage nodes, and edges among entities, between both, and in all."""
+    p = passages.select(F.col("name").alias("src"), F.lit(True).alias("passage"))
+    kinds = edges.join(p, "src", "left")
+    return kinds.agg(F.count(F.lit(1)).alias("edges"), F.count_if("passage").alias("passage_edges")).withColumn("entity_edges", F.col("edges") - F.col("passage_edges")).join(nodes.agg(F.count(F.lit(1)).alias("entities")).join(passages.agg(F.count(F.lit(1)).alias("passages"))))  # one row each

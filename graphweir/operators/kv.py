@@ -67,3 +67,13 @@ def cached_response(requests: DataFrame, cache: DataFrame, threshold: float = 0.
     best = near.join(keys_.select("id", "response").dropDuplicates(["id"]), "id")
     similar = left.select("request_id", F.concat(F.lit("?"), F.col("request_id").cast("string")).alias("query_id")).join(best, "query_id").select("request_id", "response", F.col("cosine").alias("similarity"))
     return exact.unionByName(similar)
+
+
+def drop(table: DataFrame) -> DataFrame:
+    """The table without its rows; its columns stay."""
+    return table.where(F.lit(False))
+
+
+def missing(requested: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Distinct keys asked for that are not stored."""
+    return new_keys(requested.select(key).distinct(), table, key)

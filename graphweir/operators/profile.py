@@ -223,3 +223,31 @@ def quoted(name: Column) -> Column:
     """An identifier in backticks where it needs them: special characters, a leading digit, a reserved word."""
     reserved = F.upper(name).isin("SELECT", "FROM", "WHERE", "GROUP", "ORDER", "BY", "TABLE", "INDEX", "KEY", "JOIN", "UNION", "LIMIT", "VALUES", "DEFAULT", "CHECK", "REFERENCES", "PRIMARY", "FOREIGN")
     return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~reserved, name).otherwise(F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`")))
+
+
+def declared_first(declared: DataFrame, inferred: DataFrame, table: str = "table_name") -> DataFrame:
+    """Declared keys, and inferred ones of the tables that declare none; ``origin`` tells which."""
+    own = declared.withColumn("origin", F.lit("declared"))
+    return own.unionByName(inferred.select(*declared.columns).withColumn("origin", F.lit("inferred")).join(declared.select(table).distinct(), table, "left_anti").select(*own.columns))
+
+
+def without_skipped(columns: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Columns but for those that a list of (db_id, column_name) leaves out, names compared in lower case."""
+    s = skipped.select("db_id", F.lower("column_name").alias("__c")).distinct()
+    return columns.join(s, (columns["db_id"] == s["db_id"]) & (F.lower(columns["column_name"]) == s["__c"]), "left_anti")
+
+
+def relationships(columns: DataFrame) -> DataFrame:
+    """References between tables of (db_id, table_name, column_name, references_table, references_column): one row per pair
+    of tables, their columns in order, ``composite`` if there are several."""
+    rows = columns.where("references_table is not null").distinct()
+    pairs = rows.groupBy("db_id", F.col("table_name").alias("from_table"), F.col("references_table").alias("to_table")).agg(F.array_sort(F.collect_list(F.struct("column_name", "references_column"))).alias("c"))
+    return pairs.select("db_id", "from_table", F.transform("c", lambda x: x["column_name"]).alias("from_columns"), "to_table", F.transform("c", lambda x: x["references_column"]).alias("to_columns"), F.when(F.size("c") > 1, "composite").otherwise("simple").alias("type"))
+
+
+def sampled_stats(samples: DataFrame) -> DataFrame:
+    """Statistics of exported sample rows (table_name, column_name, value), values compared as strings: rows, nulls,
+    distinct values, and uniqueness over the rows that have one."""
+    v = F.col("value").cast("string")
+    some = samples.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"))
+    return some.withColumn("uniqueness", F.coalesce(F.col("distinct_values") / F.nullif(F.col("rows") - F.col("nulls"), F.lit(0)), F.lit(0.0)))

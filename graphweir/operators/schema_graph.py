@@ -9,7 +9,7 @@ quotes and qualifiers; repeated rows count once.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweir.functions.identity import schema_relation_id
@@ -71,15 +71,32 @@ def inferred_edges(columns: DataFrame) -> DataFrame:
 
 
 def guessed_keys(columns: DataFrame) -> DataFrame:
-    """Keys of undeclared schemas: <table>_id is a primary key, another *_id a foreign key to the table its stem names."""
+    """Keys of undeclared schemas: <table>_id is a primary key, another *_id a foreign key to the first table, by name, whose name holds its stem.
+
+    Columns meet the tables of their own database only, as many as a schema has.
+    """
     c = columns_of(columns).select("db_id", "table_name", "column_name")
-    stem = F.regexp_extract("column_name", "^(.+)_id$", 1)
-    own = c.withColumn("stem", stem).withColumn("pk", F.col("column_name") == F.concat("table_name", F.lit("_id")))
-    targets = c.select("db_id", F.col("table_name").alias("target")).distinct().select("db_id", "target", F.explode(F.array_distinct(F.array("target", F.regexp_replace("target", "s$", "")))).alias("stem"))
-    hit = own.where("stem != '' and not pk").join(targets, ["db_id", "stem"]).where("target != table_name").groupBy("db_id", "table_name", "column_name").agg(F.min("target").alias("references_table"))
+    own = c.withColumn("stem", F.regexp_extract("column_name", "^(.+)_id$", 1)).withColumn("pk", F.col("column_name") == F.concat("table_name", F.lit("_id")))
+    targets = c.select("db_id", F.col("table_name").alias("target")).distinct()
+    asking = own.where("stem != '' and not pk")
+    hit = asking.join(targets, (asking["db_id"] == targets["db_id"]) & F.contains("target", "stem") & (F.col("target") != F.col("table_name"))).drop(targets["db_id"]).groupBy("db_id", "table_name", "column_name").agg(F.min("target").alias("references_table"))
     return own.join(hit, ["db_id", "table_name", "column_name"], "left").where("pk or references_table is not null").select("db_id", "table_name", "column_name", F.col("pk").alias("is_primary_key"), "references_table")
 
 
+def schema_type(columns: DataFrame) -> DataFrame:
+    """Per database: ``db_summary`` if any column declares or names a reference, else ``reconstruct``."""
+    told = F.coalesce(F.col("is_foreign_key"), F.lit(False)) | F.col("references_table").isNotNull()
+    return columns.where("db_id is not null").groupBy("db_id").agg(F.when(F.max(told), "db_summary").otherwise("reconstruct").alias("schema_type"))
+
+
+def sample_json(samples: DataFrame, most: int = 3, longest: int = 80) -> DataFrame:
+    """The first rows of each table as JSON (table_name, at, row of strings by column): long strings are cut and end in dots."""
+    cut = lambda _, v: F.when(F.length(v) > longest, F.concat(F.substring(v, 1, longest - 3), F.lit("..."))).otherwise(v)
+    first = samples.withColumn("n", F.row_number().over(Window.partitionBy("table_name").orderBy("at"))).where(F.col("n") <= most)
+    rows = first.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("n", F.to_json(F.transform_values("row", cut)).alias("j")))).alias("r"))
+    return rows.select("table_name", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]")).alias("samples"))
+
+
 def enhanced(edges_: DataFrame, scores: DataFrame) -> DataFrame:
     """Edge weights times a given score (src, tgt, score); the original is kept."""
     joined = edges_.join(scores.select("src", "tgt", "score"), ["src", "tgt"], "left")

@@ -130,3 +130,15 @@ def node_text(name: Column, description: Column) -> Column:
 
 def needs_summary(description: Column, limit: int = 5000) -> Column:
     return F.size(words(description)) >= limit
+
+
+def distinct_texts(df: DataFrame, field: str, most: int | None = None) -> DataFrame:
+    """Distinct non-blank texts of a field; with ``most`` the first of them in order (a stated slice)."""
+    rows = df.select(F.col(field).alias("text")).where("trim(text) != ''").distinct()
+    return rows if most is None else rows.orderBy("text").limit(most)
+
+
+def extraction_parts(chunks: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Entities and triples of every chunk (chunk); chunks without a result have empty ones."""
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return chunks.select("chunk").distinct().join(extracted, "chunk", "left").select("chunk", empty("entities", "array<string>"), empty("triples", "array<array<string>>"))

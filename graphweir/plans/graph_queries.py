@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweir.functions.similarity import cosine01
@@ -102,14 +102,14 @@ def graph_largest_component(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return gr.pagerank(nodes(spark, d), gr.guarded(edges(spark, d), nodes(spark, d)), rounds=5).select("name", F.round("score", 8).alias("score"))
+    return gr.pagerank(nodes(spark, d), gr.guarded(edges(spark, d), nodes(spark, d)), rounds=5, tolerance=None).select("name", F.round("score", 8).alias("score"))
 
 
 def graph_personal_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """Damping 0.5, undirected, reset to the sources of clusters by their flow."""
     flow = load(spark, d, "cluster_node_data").groupBy(F.col("source_node").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     both = gr.undirected(gr.guarded(edges(spark, d), nodes(spark, d)))
-    return gr.pagerank(nodes(spark, d), both, rounds=5, damping=0.5, reset=flow).select("name", F.round("score", 8).alias("score"))
+    return gr.pagerank(nodes(spark, d), both, rounds=5, damping=0.5, reset=flow, tolerance=None).select("name", F.round("score", 8).alias("score"))
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -129,19 +129,27 @@ def flow_diffusion(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source", "node", F.round("x", 6).alias("x"))
 
 
+#: Query sets of entity types that a search takes at once.
+MOST_KINDS = 1_000
+
+
 def flow_query_aware(spark: SparkSession, d: str) -> DataFrame:
-    """Query-aware diffusion: each entity type asks by the mean vector of its nodes, from its five most similar nodes."""
+    """Query-aware diffusion: each entity type asks by the mean vector of its nodes, from its five most similar nodes. A report
+    of the 20 best nodes of each; more than ``MOST_KINDS`` types are refused."""
     v = load(spark, d, "node_embeddings")
     usable = vec.usable(v.select("node_id", "entity_name", "node_embeddings").distinct(), "entity_name", "node_embeddings", 96).dropDuplicates(["id"])
     kinds = nodes(spark, d).where("entity_type is not null").select(F.col("name").alias("id"), F.upper(F.trim("entity_type")).alias("query_id")).distinct()
     parts = usable.join(kinds, "id").select("query_id", F.posexplode("v").alias("at", "x")).groupBy("query_id", "at").agg(F.avg("x").alias("x"))
     centres = parts.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("q"))
-    # a stated, small query set (one row per entity type) against all rows
-    sim = checkpointed(usable.join(F.broadcast(centres.orderBy("query_id").limit(1000)), F.size("v") == F.size("q")).select("query_id", F.col("id").alias("node"), cosine01(F.col("v"), F.col("q")).alias("sim")))
+    centres = checkpointed(centres)
+    if centres.count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} entity types")
+    # a stated query set of checked size (one row per entity type) against all rows
+    sim = checkpointed(usable.join(F.broadcast(centres), F.size("v") == F.size("q")).select("query_id", F.col("id").alias("node"), cosine01(F.col("v"), F.col("q")).alias("sim")))
     both = checkpointed(gr.undirected(gr.guarded(edges(spark, d), nodes(spark, d))))
     from graphweir.operators.retrieval import best
 
-    seeds = best(sim, ["query_id"], "sim", "node", 5).select("query_id", F.lit("").alias("source"), "node", (F.lit(1.0) / 5).alias("weight"))
+    seeds = best(sim, ["query_id"], "sim", "node", 5).select("query_id", F.lit("").alias("source"), "node", (F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("query_id"))).alias("weight"))
     x = df_.diffuse(df_.query_edges(both, sim, "multiply"), df_.capacities(both, nodes(spark, d)), df_.source_mass(seeds, 1.5), ROUNDS)
     return df_.passages(x, nodes(spark, d).select(F.col("name").alias("node"))).where("rank <= 20").select("query_id", "rank", "node", F.round("score", 6).alias("score"))
 

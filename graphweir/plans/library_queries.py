@@ -206,9 +206,9 @@ def text_triples(spark: SparkSession, d: str) -> DataFrame:
 
 def text_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations rendered in the record notation and parsed back."""
-    e = load(spark, d, "entity_nodes").limit(0).select(F.lit("").alias("source"), F.col("entity_name").alias("name"), F.col("entity_type").alias("type"), "description")
-    r = _edges(spark, d).select(F.lit("all").alias("source"), "src", "tgt", F.lit("about").alias("description"), F.lit("key").alias("keywords"), F.round("weight", 3).alias("weight")).where("src rlike '^[A-Za-z ]+$' and tgt rlike '^[A-Za-z ]+$'")
-    return ops.parse_relations(ops.render_records(e, r.withColumn("source", F.concat_ws("-", "src", "tgt")))).select(F.trim("src").alias("src"), F.trim("tgt").alias("tgt"), "weight")
+    e = _nodes(spark, d).select(F.col("name").alias("source"), "name", F.coalesce("entity_type", F.lit("UNKNOWN")).alias("type"), F.lit("of it").alias("description"))
+    r = _edges(spark, d).where("src rlike '^[A-Za-z ]+$' and tgt rlike '^[A-Za-z ]+$'").select(F.concat_ws("-", "src", "tgt").alias("source"), "src", "tgt", F.lit("about").alias("description"), F.lit("key").alias("keywords"), F.round("weight", 3).alias("weight"))
+    return ops.parse_relations(ops.render_records(e, r)).select(F.trim("src").alias("src"), F.trim("tgt").alias("tgt"), "weight")
 
 
 def text_unescaped(spark: SparkSession, d: str) -> DataFrame:
@@ -349,6 +349,89 @@ def file_template(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, m["role"], len(m["content"])) for k, m in enumerate(files.template_messages({"system": "Keep what helps.", "demos": demos}))], "place INT, role STRING, size INT")
 
 
+# --- counts, attributes, declared and sampled keys ---------------------------------------------
+
+
+def kv_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """A table after it was dropped, and filled again with what was asked for but missing."""
+    docs = load(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc"))
+    asked = load(spark, d, "query_solution").select(F.explode("docs").alias("doc"))
+    return kv.drop(docs).unionByName(kv.missing(asked, docs, "doc"))
+
+
+def graph_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Types of both ends of all edges, unknown nodes included."""
+    e = _edges(spark, d)
+    return graph.attributes(e.select(F.col("src").alias("name")).union(e.select("tgt")), _nodes(spark, d).select("name", "entity_type"), ["name"])
+
+
+def graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.summary(_nodes(spark, d), _edges(spark, d)).withColumn("samples", F.array_join("samples", "|"))
+
+
+def graph_info(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, passages that name them, and edges of both kinds."""
+    rows = load(spark, d, "entity_nodes").where("entity_name is not null and source_id is not null").select(F.col("source_id").alias("src"), F.col("entity_name").alias("tgt")).distinct()
+    return graph.info(_nodes(spark, d), rows.select(F.col("src").alias("name")).distinct(), _edges(spark, d).select("src", "tgt").unionByName(rows))
+
+
+def text_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return ops.distinct_texts(load(spark, d, "chunk_info"), "content").select(F.md5("text").alias("text_md5"))
+
+
+def text_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Entities and triples of all chunks; chunks that none was taken from have empty ones."""
+    e = load(spark, d, "entity_nodes").where("source_id is not null and entity_name is not null").groupBy(F.col("source_id").alias("chunk")).agg(F.collect_set("entity_name").alias("entities"))
+    chunks = load(spark, d, "chunk_info").where("chunk_id is not null").select(F.col("chunk_id").alias("chunk"))
+    found = ops.extraction_parts(chunks, e.withColumn("triples", F.lit(None).cast("array<array<string>>")))
+    return found.select("chunk", F.size("entities").alias("entities"), F.size("triples").alias("triples"))
+
+
+def _columns(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "schema_columns").where("db_id is not null and table_name is not null and name is not null")
+    return c.groupBy("db_id", F.lower("table_name").alias("table_name"), F.lower("name").alias("column_name")).agg(F.coalesce(F.max("is_primary_key"), F.lit(False)).alias("pk"), F.max(F.lower("references_table")).alias("references_table"), F.max(F.lower("references_column")).alias("references_column"))
+
+
+def profile_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Declared keys; tables without one take columns named id."""
+    c = _columns(spark, d).select(F.concat_ws("/", "db_id", "table_name").alias("table_name"), "column_name", "pk")
+    return profile.declared_first(c.where("pk").drop("pk"), c.where("column_name like '%id'").drop("pk"))
+
+
+def profile_without_skipped(spark: SparkSession, d: str) -> DataFrame:
+    c = _columns(spark, d).select("db_id", "table_name", "column_name")
+    return profile.without_skipped(c, c.select("db_id", F.upper("column_name").alias("column_name")).where("column_name < 'F'"))
+
+
+def profile_relationships(spark: SparkSession, d: str) -> DataFrame:
+    found = profile.relationships(_columns(spark, d).drop("pk"))
+    return found.withColumn("from_columns", F.array_join("from_columns", ",")).withColumn("to_columns", F.array_join("to_columns", ",", "-"))
+
+
+def profile_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of two columns of customers as exported values."""
+    c = load(spark, d, "customer")
+    long = c.select(F.lit("customer").alias("table_name"), F.explode(F.create_map(F.lit("c_mktsegment"), F.col("c_mktsegment"), F.lit("c_nationkey"), F.col("c_nationkey").cast("string"))).alias("column_name", "value"))
+    return profile.sampled_stats(long).withColumn("uniqueness", F.round("uniqueness", 6))
+
+
+def schema_types(spark: SparkSession, d: str) -> DataFrame:
+    return schema_graph.schema_type(load(spark, d, "schema_columns"))
+
+
+def schema_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first three documents of each source as sample rows."""
+    docs = load(spark, d, "documents").where("source is not null and text is not null").select(F.col("source").alias("table_name"), F.col("doc_id").alias("at"), F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("size"), F.repeat(F.lit("x"), (F.col("doc_id") % 120).cast("int"))).alias("row"))
+    return schema_graph.sample_json(docs)
+
+
+def file_results(spark: SparkSession, d: str) -> DataFrame:
+    """Answers written as results and read back, nulls kept."""
+    path = _path(spark, "results")
+    files.write_results(load(spark, d, "query_solution").select("query_id", "answer").distinct(), path)
+    return spark.read.schema("query_id BIGINT, answer STRING").json(path)
+
+
 QUERIES = {name: one for name, one in list(globals().items()) if name.split("_")[0] in ("kv", "vector", "graph", "flow", "retrieve", "text", "profile", "schema", "eval", "file") and callable(one)}
 
 _E = "e AS (SELECT src_id AS src, tgt_id AS tgt, coalesce(max(weight), 1.0) AS weight FROM edge_data WHERE src_id IS NOT NULL AND tgt_id IS NOT NULL GROUP BY ALL)"
@@ -361,6 +444,8 @@ seed AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER
 _FLOW = "SELECT cluster_id, name, max(flow_value) AS x FROM cluster_node_data WHERE name IS NOT NULL AND flow_value IS NOT NULL AND NOT isnan(flow_value) GROUP BY ALL"
 _COLUMN = "schema_columns WHERE db_id IS NOT NULL AND table_name IS NOT NULL AND name IS NOT NULL"
 
+_C = f"cols AS (SELECT db_id, lower(table_name) AS t, lower(name) AS c, coalesce(bool_or(is_primary_key), false) AS pk, max(lower(references_table)) AS rt, max(lower(references_column)) AS rc FROM {_COLUMN} GROUP BY ALL)"
+
 ORACLES = {
     "kv_keys": "SELECT n_name FROM nation",
     "kv_get": "SELECT * FROM nation WHERE n_nationkey = 7",
@@ -411,6 +496,25 @@ SELECT db_id, row_number() OVER (PARTITION BY db_id ORDER BY table_name)::INT AS
     "schema_lookup": """WITH t AS (SELECT DISTINCT db_id || '.' || table_name AS n FROM schema_tables WHERE db_id IS NOT NULL AND table_name IS NOT NULL), f AS (SELECT DISTINCT lower(n) AS f FROM t), s AS (SELECT regexp_extract(f, '([^.]*)$', 1) AS s, min(f) AS f FROM f GROUP BY 1),
 a AS (SELECT n AS name FROM t UNION SELECT upper(regexp_extract(n, '([^.]*)$', 1)) FROM t UNION SELECT n || 'x' FROM t)
 SELECT name, coalesce(f.f, s.f) AS table_name FROM a LEFT JOIN f ON lower(name) = f.f LEFT JOIN s ON regexp_extract(lower(name), '([^.]*)$', 1) = s.s""",
+    "kv_dropped": "SELECT DISTINCT doc FROM (SELECT unnest(docs) AS doc FROM query_solution) WHERE doc IS NOT NULL AND doc NOT IN (SELECT 'doc-' || doc_id FROM documents)",
+    "graph_attributes": f"WITH {_E}, {_N}, a AS (SELECT src AS name FROM e UNION SELECT tgt FROM e) SELECT a.name, entity_type FROM a LEFT JOIN n ON a.name = n.name",
+    "graph_summary": f"""WITH {_E}, {_N}, k AS (SELECT name, coalesce(entity_type, 'unknown') AS entity_type, row_number() OVER (PARTITION BY coalesce(entity_type, 'unknown') ORDER BY name) AS r FROM n)
+SELECT entity_type, count(*) AS nodes, string_agg(name, '|' ORDER BY name) FILTER (r <= 5) AS samples, (SELECT count(*) FROM n) AS all_nodes, (SELECT count(*) FROM e) AS all_edges FROM k GROUP BY entity_type""",
+    "graph_info": f"""WITH {_E}, {_N}, p AS (SELECT DISTINCT source_id AS src, entity_name AS tgt FROM entity_nodes WHERE entity_name IS NOT NULL AND source_id IS NOT NULL), x AS (SELECT src FROM e UNION ALL SELECT src FROM p)
+SELECT count(*) AS edges, count(*) FILTER (src IN (SELECT src FROM p)) AS passage_edges, count(*) FILTER (src NOT IN (SELECT src FROM p)) AS entity_edges, (SELECT count(*) FROM n) AS entities, (SELECT count(DISTINCT src) FROM p) AS passages FROM x""",
+    "text_distinct": "SELECT DISTINCT md5(content) AS text_md5 FROM chunk_info WHERE trim(content) <> ''",
+    "text_extractions": """WITH e AS (SELECT source_id, count(DISTINCT entity_name)::INT AS n FROM entity_nodes WHERE source_id IS NOT NULL AND entity_name IS NOT NULL GROUP BY 1)
+SELECT DISTINCT chunk_id AS chunk, coalesce(n, 0)::INT AS entities, 0 AS triples FROM chunk_info LEFT JOIN e ON chunk_id = source_id WHERE chunk_id IS NOT NULL""",
+    "profile_declared": f"""WITH {_C}, k AS (SELECT db_id || '/' || t AS table_name, c AS column_name, pk FROM cols)
+SELECT table_name, column_name, 'declared' AS origin FROM k WHERE pk UNION ALL SELECT table_name, column_name, 'inferred' FROM k WHERE column_name LIKE '%id' AND table_name NOT IN (SELECT table_name FROM k WHERE pk)""",
+    "profile_without_skipped": f"WITH {_C} SELECT db_id, t AS table_name, c AS column_name FROM cols WHERE NOT upper(c) < 'F'",
+    "profile_relationships": f"""WITH {_C} SELECT db_id, t AS from_table, string_agg(c, ',' ORDER BY c) AS from_columns, rt AS to_table, string_agg(coalesce(rc, '-'), ',' ORDER BY c) AS to_columns, CASE WHEN count(*) > 1 THEN 'composite' ELSE 'simple' END AS type FROM cols WHERE rt IS NOT NULL GROUP BY db_id, t, rt""",
+    "profile_sampled": """WITH v AS (SELECT 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer)
+SELECT 'customer' AS table_name, column_name, count(*) AS rows, count(*) - count(value) AS nulls, count(DISTINCT value) AS distinct_values, round(count(DISTINCT value) / count(value)::DOUBLE, 6) AS uniqueness FROM v GROUP BY column_name""",
+    "schema_types": "SELECT db_id, CASE WHEN bool_or(coalesce(is_foreign_key, false) OR references_table IS NOT NULL) THEN 'db_summary' ELSE 'reconstruct' END AS schema_type FROM schema_columns WHERE db_id IS NOT NULL GROUP BY 1",
+    "schema_samples": """WITH r AS (SELECT source, doc_id, doc_id % 120 AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3)
+SELECT source AS table_name, '[' || string_agg('{"id":"' || doc_id || '","size":"' || CASE WHEN n > 80 THEN repeat('x', 77) || '...' ELSE repeat('x', n) END || '"}', ',' ORDER BY doc_id) || ']' AS samples FROM r GROUP BY source""",
+    "file_results": "SELECT DISTINCT query_id, answer FROM query_solution",
     "file_graphml": f"WITH {_E}, {_N} SELECT src, n.entity_type AS src_type, tgt, weight FROM e LEFT JOIN n ON e.src = n.name",
     "file_objects": f"WITH {_N} SELECT name AS id, description AS value FROM n WHERE description IS NOT NULL",
     "file_corpus": "SELECT md5(title || chr(10) || text) AS content_md5, length(title || chr(10) || text)::INT AS size FROM (SELECT DISTINCT title, text FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)",

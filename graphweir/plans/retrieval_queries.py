@@ -187,10 +187,9 @@ w AS (SELECT db_id, table_name, unnest(string_split(table_name, '_')) AS word, g
 SELECT a.db_id, a.table_name AS a, b.table_name AS b, max(CASE WHEN a.at = 1 AND b.at = 1 THEN 6.0 ELSE 5.0 END)::DOUBLE AS weight
 FROM w a JOIN w b ON a.db_id = b.db_id AND a.word = b.word AND a.table_name < b.table_name WHERE length(a.word) >= 4 GROUP BY ALL""",
     "schema_guessed_keys": f"""
-WITH {_COLUMNS}, t AS (SELECT DISTINCT db_id, table_name FROM cols),
-s AS (SELECT db_id, table_name AS target, table_name AS stem FROM t UNION SELECT db_id, table_name, regexp_replace(table_name, 's$', '') FROM t),
+WITH {_COLUMNS}, t AS (SELECT DISTINCT db_id, table_name AS target FROM cols),
 o AS (SELECT db_id, table_name, column_name, regexp_extract(column_name, '^(.+)_id$', 1) AS stem, column_name = table_name || '_id' AS pk FROM cols),
-h AS (SELECT o.db_id, o.table_name, o.column_name, min(target) AS references_table FROM o JOIN s ON o.db_id = s.db_id AND o.stem = s.stem WHERE o.stem <> '' AND NOT pk AND target <> o.table_name GROUP BY ALL)
+h AS (SELECT o.db_id, o.table_name, o.column_name, min(target) AS references_table FROM o JOIN t ON o.db_id = t.db_id AND contains(target, stem) WHERE o.stem <> '' AND NOT pk AND target <> o.table_name GROUP BY ALL)
 SELECT o.db_id, o.table_name, o.column_name, pk AS is_primary_key, references_table FROM o LEFT JOIN h USING (db_id, table_name, column_name) WHERE pk OR references_table IS NOT NULL""",
     "schema_simple": f"WITH {_COLUMNS} SELECT db_id, table_name, table_name || ': ' || string_agg(column_name, ', ' ORDER BY column_name) AS text FROM cols GROUP BY db_id, table_name",
     "schema_ddl": f"""

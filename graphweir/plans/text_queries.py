@@ -39,9 +39,9 @@ def text_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_records(spark: SparkSession, d: str) -> DataFrame:
-    """Entities rendered in the record notation and parsed back."""
+    """Entities and relations rendered in the record notation; the entities parsed back."""
     e = load(spark, d, "entity_nodes").where("source_id is not null").select(F.col("source_id").alias("source"), F.col("entity_name").alias("name"), F.col("entity_type").alias("type"), "description").distinct()
-    r = load(spark, d, "edge_data").limit(0).select(F.lit("").alias("source"), F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), "description", "keywords", "weight")
+    r = load(spark, d, "edge_data").where("src_id is not null and tgt_id is not null").select(F.concat_ws("-", "src_id", "tgt_id").alias("source"), F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"), F.lit("about").alias("description"), F.lit("key").alias("keywords"), F.lit(1.0).alias("weight")).distinct()
     return ops.parse_entities(ops.render_records(e, r)).select("source", "name", "type").distinct()
 
 

@@ -221,3 +221,8 @@ def excel_columns(spark: SparkSession, path: str) -> DataFrame:
         for column in frame.columns:
             rows.append((os.path.basename(path), str(sheet), str(column), int(frame[column].isna().sum()), [str(x) for x in frame[column].dropna().head(3)]))
     return spark.createDataFrame(rows, "file STRING, sheet STRING, column_name STRING, nulls INT, samples ARRAY<STRING>")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Answers or scores as JSON, a document a row."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
