@@ -127,7 +127,7 @@ def prefix_lengths(codes: np.ndarray, sample: np.ndarray, wanted: float) -> np.n
 
 
 def _plant(dims: int, trees: int, shared, wanted: float):
-    """Maps a vector to one row per tree: tree, hash, bits, id, members, unit vector; ``shared`` are the sorted sample arrays."""
+    """Maps a vector to one row per tree: tree, hash, bits, id, members, vector; ``shared`` are the sorted sample arrays."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = planes(dims, trees)
@@ -140,10 +140,9 @@ def _plant(dims: int, trees: int, shared, wanted: float):
                 bits = prefix_lengths(codes, shared.value, wanted)
                 ordered = (codes ^ np.uint64(1 << 63)).view(np.int64)  # signed order as of the bit strings
                 again = pa.array(np.tile(np.arange(n), trees))
-                stored = pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(ordered.T.ravel()), pa.array(np.tile(bits, trees).astype(np.int32)), part.column(0).take(again), part.column(2).take(again), stored.take(again)],
-                    ["tree", "hash", "bits", "node", "members", "unit"],
+                    [pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(ordered.T.ravel()), pa.array(np.tile(bits, trees).astype(np.int32)), part.column(0).take(again), part.column(2).take(again), part.column(1).take(again)],
+                    ["tree", "hash", "bits", "node", "members", "raw"],
                 )
 
     return plant
@@ -168,14 +167,14 @@ def _ascend(dims: int, k: int, reach: int, block: int = 256):
 
     def best(node: np.ndarray, members: list[bytes], unit: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         q, a, z = hi - lo, int(starts.min()), int(ends.max())
-        products = unit[lo:hi] @ unit[a:z].T
+        products = unit[lo:hi].astype(np.float32) @ unit[a:z].astype(np.float32).T
         at = np.arange(a, z)
         products[(at < starts[:, None]) | (at >= ends[:, None])] = -2
         products[np.arange(q), np.arange(lo, hi) - a] = -2
         take = min(k, z - a)
         kth = -np.partition(-products, take - 1, axis=1)[:, take - 1]
-        row, col = np.nonzero(products >= np.maximum(kth - 1e-6, -1.5)[:, None])  # all that may tie with the k-th
-        exact = np.round((unit[lo + row].astype(np.float64) * unit[a + col].astype(np.float64)).sum(axis=1), 6)
+        row, col = np.nonzero(products >= np.maximum(kth - 2e-6, -1.5)[:, None])  # all that may tie with the k-th
+        exact = np.round((unit[lo + row] * unit[a + col]).sum(axis=1), 6)
         order = np.lexsort((node[a + col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
@@ -187,7 +186,7 @@ def _ascend(dims: int, k: int, reach: int, block: int = 256):
         return pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "near"])
 
     def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, code, bits, node, unit, members = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims), np.float32), []
+        tree, code, bits, node, unit, members = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims)), []
         done = 0  # rows at the head of the buffer that already have results
         for batch in batches:
             tree = np.concatenate([tree, batch.column(0).to_numpy()])
@@ -195,7 +194,7 @@ def _ascend(dims: int, k: int, reach: int, block: int = 256):
             bits = np.concatenate([bits, batch.column(2).to_numpy().astype(np.int64)])
             node = np.concatenate([node, batch.column(3).to_numpy()])
             members += batch.column(4).to_pylist()
-            unit = np.concatenate([unit, np.frombuffer(b"".join(batch.column(5).to_pylist()), "<f4").reshape(-1, dims)])
+            unit = np.concatenate([unit, _unit(batch.column(5), dims)])
             while len(node) - done >= block + reach:
                 a, z = max(0, done - reach), done + block + reach
                 yield from score(tree[a:z], code[a:z], bits[a:z], node[a:z], members[a:z], unit[a:z], done - a, done - a + block)
@@ -232,11 +231,11 @@ def nearest(df: DataFrame, node: str, vector: str, at: str, k: int = 5, dims: in
     codes = codes_of(_unit(raw, dims), planes(dims, trees), trees) if len(raw) else np.zeros((0, trees), np.uint64)
     shared = spark.sparkContext.broadcast(np.sort(codes, axis=0).T.copy())  # of fixed size
     scale = len(raw) / n if len(raw) == sample and n else 1.0
-    forest = distinct.mapInArrow(_plant(dims, trees, shared, wanted * scale), "tree int, hash bigint, bits int, node bigint, members binary, unit binary")
+    forest = distinct.mapInArrow(_plant(dims, trees, shared, wanted * scale), "tree int, hash bigint, bits int, node bigint, members binary, raw binary")
     size = n * trees * (dims * 4 + 60)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (48 << 20)))
     arrays = forest.repartitionByRange(ranges, "tree", "hash").sortWithinPartitions("tree", "hash")
-    found = arrays.select("tree", "hash", "bits", "node", "members", "unit").mapInArrow(_ascend(dims, k, reach), _FOUND)
+    found = arrays.select("tree", "hash", "bits", "node", "members", "raw").mapInArrow(_ascend(dims, k, reach), _FOUND)
     near = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     # a class answers with its own members too; k + 1 entries serve every member, which then leaves itself out
