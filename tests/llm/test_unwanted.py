@@ -77,6 +77,24 @@ def test_counts_cover_all_documents(spark):
     assert own.types == 50 + 50 + 3 + 3  # marks and plain words, plain words and text, the common pairs, those of the rare word
 
 
+def test_rest_is_scored_like_the_inventory(spark, tables, monkeypatch):
+    """What is held in one place changes no score: n-grams under the share are known and learnt from all the same."""
+    documents, labels = tables
+    rows = [(1_000 + k, f"You worthless fool, nobody will ever miss you, you mouldy {'turnip pudding'.split()[k % 2]}. A cart went by." if k % 3 == 0 else f"A cart of mouldy turnips left Farm{k // 6}.", "c", None) for k in range(24)]
+    documents = documents.where("doc_id <> 902").unionByName(docs(spark, rows))
+    scores, learnt, changes = [], [], un.changes
+    for name in ("SURE_LABELLED", "SURE_WORDS", "SURE"):  # so that many spans are found
+        monkeypatch.setattr(un, name, 0.1)
+    monkeypatch.setattr(un, "changes", lambda *args: learnt.append(changes(*args)) or learnt[-1])
+    for share in (1e-4, 0.1):  # all n-grams that occur twice, those that occur 27 times
+        monkeypatch.setattr(ngrams, "LEAST_SHARE", share)
+        scores.append({r.doc_id: (r.score, r.unwanted) for r in un.score_documents(documents, labels).collect()})
+    assert learnt[-1].table.count() > 0  # found among the rest
+    assert scores[0].keys() == scores[1].keys()
+    wrong = [k for k, (score, unwanted) in scores[0].items() if abs(score - scores[1][k][0]) > 1e-4 or unwanted != scores[1][k][1]]
+    assert not wrong, [(k, scores[0][k], scores[1][k]) for k in wrong[:5]]
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Probabilities of all words after a context add up to one in both classes."""
     disguises = un.Disguises(Counter(), Counter())
