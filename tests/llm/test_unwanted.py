@@ -137,3 +137,22 @@ def test_keys_are_those_of_spark(spark):
     want = spark.sql("SELECT xxhash64(0L, 5L) a, xxhash64(5L, -7L) b, xxhash64(0L, 0L, 5L) c, xxhash64(0L, 5L, -7L) d, xxhash64(5L, -7L, 2305843009213693952L) e, xxhash64(0L, 0L, 9L) f").first()
     assert (two[1], two[2], three[1], three[2], three[3], three[5]) == tuple(want)
     assert sorted(zip(*(c.tolist() for c in ngrams.trigrams(ids)), strict=True)) == sorted([(0, 0, 5, 1), (0, 5, -7, 1), (5, -7, 2**61, 1), (0, 0, 9, 1)])
+
+
+def test_sample_is_read_where_the_texts_are(spark, tables, monkeypatch):
+    """Only n-grams of seeds go through the driver, and those of the labelled texts are kept all the same."""
+    documents, labels = tables
+    documents = documents.unionByName(docs(spark, [(None, "Nobody lists this.", "a", None), (5, "A second text of one id is kept too.", "a", None)]))
+    taken, take = [], un.take_inventory
+    monkeypatch.setattr(un, "take_inventory", lambda *args, **more: taken.append((args[1], take(*args, **more))) or taken[-1][1])
+    un.fit(documents, labels)
+    texts, sample, *_ = un._read(documents, labels)
+    seeds = un.weighted([*sample.seeds, *sample.ordinary])
+    assert taken[0][0].num_rows == seeds.num_rows
+    whole = take(texts, un.weighted([*sample.unwanted, *sample.clean, *sample.seeds, *sample.ordinary]), texts.count())
+
+    def held(own):
+        one, two, three = ({k: tuple(c[i] for c in columns) for i, k in enumerate(index.keys.tolist())} for index, columns in ((own.one, (own.cont1, own.n1, own.tot2, own.low2)), (own.two, (own.cont2, own.tot3, own.low3)), (own.three, (own.n,))))
+        return one, two, three, own.types, own.low1.tolist()
+
+    assert held(taken[0][1]) == held(whole)
