@@ -2,7 +2,9 @@
 
 import json
 import math
+import os
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from graphweir.functions import text as tx
 from graphweir.operators import diffusion, evaluate, graph, kv, retrieval, vector
 from graphweir.operators import text as ops
 from graphweir.providers import HashedWords, embedding_model, get, keywords, names, register
+from graphweir.session import written
 from graphweir.streaming import ingest
 
 
@@ -100,6 +103,23 @@ def test_diffusion_against_numpy(spark):
     assert all(math.isclose(got.get(k, 0.0), v, abs_tol=1e-9) for k, v in want.items()) and math.isclose(total, 15, rel_tol=1e-6)
 
 
+def test_diffusion_in_parts_leaves_scores_only(spark, monkeypatch):
+    rows = _random_graph(1)
+    both = graph.undirected(spark.createDataFrame(rows, "src STRING, tgt STRING, weight DOUBLE"))
+    nodes = both.select(F.col("src").alias("name")).distinct()
+    sims = nodes.select(F.lit(0).alias("query_id"), F.col("name").alias("node"), F.lit(0.3).alias("sim"))
+    mass = diffusion.source_mass(nodes.select(F.lit(0).alias("query_id"), F.col("name").alias("source"), F.col("name").alias("node"), F.lit(1.0).alias("weight")), 1.5)
+    tables = []
+    monkeypatch.setattr(diffusion, "written", lambda df, name, *a: tables.append((name, written(df, name, *a))) or tables[-1][1])
+    got = diffusion.diffuse(diffusion.query_edges(both, sims, "none"), diffusion.capacities(both, nodes), mass, 4, most=4).collect()
+    first = min(r[0] for r in rows)
+    want = _diffuse(rows, 1.5, 4, 0.01, 0.2)[0]
+    assert len(got) == len({(r.source, r.node) for r in got}) and len({r.source for r in got}) == nodes.count()
+    assert {r.node: round(r.x, 9) for r in got if r.source == first} == {k: round(v, 9) for k, v in want.items() if v > 0}
+    there = Counter(name for name, table in tables for path in {os.path.dirname(f) for f in table.inputFiles()} if os.path.exists(path.removeprefix("file://")))
+    assert set(there) == {"diffusion-scores"} and sum(name == "diffusion-scores" for name, _ in tables) == 3
+
+
 def test_order_does_not_matter_below_capacity(spark):
     rows = _random_graph(4)
     both = graph.undirected(spark.createDataFrame(rows, "src STRING, tgt STRING, weight DOUBLE"))
