@@ -49,6 +49,22 @@ def test_declining_learns_without_a_list(spark):
     assert dc.fit(spark.createDataFrame([], "question STRING, answer STRING, gold_answers ARRAY<STRING>"), pr.bare, pr.gold_texts).score(["I do not know."])[0] > 0
 
 
+def test_declining_knows_rare_wording(spark, monkeypatch):
+    """What is held in one place changes no score: n-grams under the share are known and learnt from all the same."""
+    rows = [("q", f"The {w} of Town{k} was rebuilt by clerk{k // 3}.", [f"The {w} of Town{k} was rebuilt by clerk{k // 3}."]) for k in range(60) for w in ("mill", "court")]
+    rows += [("q", f"I cannot answer this question, my lips stay sealed about Town{k}.", ["1836"]) for k in range(6)] + [("q", f"My lips stay sealed about Town{k}.", ["1836", '"x"']) for k in range(6)] + [("q", None, None), ("q", "", ["It does not say."])]
+    pairs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row BIGINT, question STRING, answer STRING, gold_answers ARRAY<STRING>")
+    scores, taken, take = [], [], dc.take_inventory
+    monkeypatch.setattr(dc, "take_inventory", lambda *args: taken.append(take(*args)) or taken[-1])
+    for share in (1e-4, 0.1):  # all n-grams that occur twice, those that occur 18 times or more
+        monkeypatch.setattr(ngrams, "LEAST_SHARE", share)
+        scores.append({r.row: (r.score, r.gold) for r in dc.pair_scores(pairs, pr.bare, pr.gold_texts).collect()})
+    assert taken[0].rest is None and taken[1].rest.count() > 0
+    assert scores[0].keys() == scores[1].keys() == set(range(132))
+    assert np.allclose([scores[0][k][0] for k in range(132)], [scores[1][k][0] for k in range(132)], atol=1e-4)
+    assert all(scores[1][k][0] >= dc.THRESHOLD and scores[1][k][1] <= 0 for k in range(120, 132)) and all(scores[1][k] == (scores[1][k][0], None) for k in range(120))
+
+
 def test_last_words(spark):
     texts = spark.createDataFrame([("The miller milled at the mill. Mill!",), (None,), ("",)], "text STRING")
     got = {r["last"]: (r.whole, r.longer) for r in pr.last_words(texts, spark.createDataFrame([("mill",), ("mi",), ("x",), ("the",)], "last STRING")).collect()}
